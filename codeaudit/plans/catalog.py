@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from codeaudit.plans import rule_checks  # noqa: F401
+from codeaudit.plans import (  # noqa: F401
+    code_checks, dependency_checks, review_checks, rule_checks, score_checks,
+)
 from codeaudit.plans.common import ORACLE, QUERIES  # noqa: F401

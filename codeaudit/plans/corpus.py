@@ -460,6 +460,16 @@ registry AS (
   FROM part)"""
 
 
+ADVISORIES_SQL = f"""
+advisories AS (
+  SELECT {_ecosystem('p_partkey')} AS ecosystem, {_package('p_partkey')} AS package,
+    'OSV-' || CAST(p_partkey AS VARCHAR) AS advisory,
+    CASE WHEN p_size % 3 <> 0 THEN CAST(p_size % 4 AS VARCHAR) || '.0' END AS introduced,
+    CASE WHEN p_size % 5 <> 0 THEN CAST(p_size % 4 + 1 AS VARCHAR) || '.2.1' END AS fixed,
+    ['critical', 'high', 'medium'][p_size % 3 + 1] AS severity
+  FROM part WHERE p_size >= 40)"""
+
+
 class Corpus:
     """The derived tables of one directory of driver tables."""
 
@@ -538,6 +548,71 @@ class Corpus:
             eco.alias("ecosystem"), package_name(key).alias("package"),
             status.alias("http_status"), F.when(status == 200, body).alias("body"))
 
+    @cached_property
+    def advisories(self) -> DataFrame:
+        size = F.col("p_size")
+        severities = F.array(*[F.lit(v) for v in ("critical", "high", "medium")])
+        return self.table("part").filter(size >= 40).select(
+            ecosystem_name(F.col("p_partkey")).alias("ecosystem"),
+            package_name(F.col("p_partkey")).alias("package"),
+            F.concat(F.lit("OSV-"), F.col("p_partkey")).alias("id"),
+            F.when(size % 3 != 0, F.concat((size % 4).cast("string"), F.lit(".0"))).alias("introduced"),
+            F.when(size % 5 != 0, F.concat((size % 4 + 1).cast("string"), F.lit(".2.1"))).alias("fixed"),
+            F.element_at(severities, size % 3 + 1).alias("severity"))
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        """One report per part and scanner; those of size 50 are cut off in the middle."""
+        k, size = F.col("p_partkey"), F.col("p_size")
+        pick = lambda n, *values: F.element_at(
+            F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+        path = F.concat(F.lit("src/"), F.col("p_name"))
+        empty = F.lit(", {}]}")
+        head = lambda body: F.concat(F.lit('{"results": ['), body, empty)
+        bandit = head(F.to_json(F.struct(
+            F.concat(F.lit("T"), size).alias("test_name"), F.concat(F.lit("B"), size).alias("test_id"),
+            pick(k, "LOW", "medium", "HIGH", "UNKNOWN").alias("issue_severity"),
+            pick(size, "HIGH", "MEDIUM", "LOW", "odd").alias("issue_confidence"),
+            F.struct(size.alias("id")).alias("issue_cwe"), path.alias("filename"),
+            k.alias("line_number"), F.col("p_type").alias("issue_text"),
+            F.col("p_brand").alias("code"))))
+
+        def match(cwe: Column) -> Column:
+            return F.to_json(F.struct(
+                F.concat(F.lit("rule-"), size).alias("check_id"), path.alias("path"),
+                F.struct(k.alias("line")).alias("start"), F.struct(
+                    pick(k, "INFO", "WARNING", "ERROR", "X").alias("severity"),
+                    F.col("p_type").alias("message"), F.col("p_brand").alias("lines"),
+                    F.struct(cwe.alias("cwe")).alias("metadata")).alias("extra")))
+
+        cwe = F.concat(F.lit("CWE-"), size)
+        semgrep = head(F.when(k % 2 == 0, match(cwe)).otherwise(match(F.array(cwe, F.lit("CWE-1")))))
+        fix = (F.when(k % 3 == 0, "true").when(k % 3 == 1, "false")
+               .otherwise(F.concat(F.lit('{"name": "fixed", "version": "'), size, F.lit('.1"}'))))
+        npm = F.concat(
+            F.lit('{"vulnerabilities": {"pkg-'), k, F.lit('": {"severity": "'),
+            pick(size, "critical", "high", "moderate", "low", "info", "odd"),
+            F.lit('", "via": ["other", {"title": "T'), size, F.lit('", "url": "https://a/'), k,
+            F.lit('", "cve": "CVE-'), k, F.lit('"}, {"title": "U"}], "fixAvailable": '), fix,
+            F.lit('}, "plain-'), k, F.lit('": {}}}'))
+        pip = F.concat(
+            F.lit('{"dependencies": [{"name": "pkg-'), k, F.lit('", "version": "'), size,
+            F.lit('.0", "vulns": [{"id": "PYSEC-'), k, F.lit('", "description": "'),
+            F.repeat(F.concat("p_type", F.lit(" ")), 30), F.lit('", "fix_versions": ["'), size,
+            F.lit('.1", "'), size, F.lit('.2"]}, {"id": "X"}]}, {"name": "safe", "vulns": []}]}'))
+        tools = F.explode(F.array(*[
+            F.struct(F.lit(t).alias("tool"), src.alias("source"), body.alias("body"))
+            for t, src, body in (
+                ("bandit", F.lit(""), bandit), ("semgrep", F.lit(""), semgrep),
+                ("semgrep-compliance", pick(k, "gdpr.yml", "soc2.yml"), semgrep),
+                ("npm-audit", F.concat(F.lit("svc"), size, F.lit("/package.json")), npm),
+                ("pip-audit", F.lit("requirements.txt"), pip))]))
+        rows = self.table("part").select(F.concat(F.lit("team-"), size).alias("repo_id"), "p_size",
+                                         tools.alias("t"))
+        return rows.select("repo_id", "t.tool", "t.source", F.when(
+            F.col("p_size") == 50, F.left("t.body", F.lit(25))).otherwise(F.col("t.body"))
+            .alias("body"))
+
 
 def package_name(key: Column) -> Column:
     names = F.array(*[F.lit(n) for n, _ in NAMED_PACKAGES])

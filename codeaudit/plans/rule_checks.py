@@ -309,14 +309,14 @@ def _secrets_sql() -> str:
       {_mask_sql('secret')} AS evidence FROM secret_hits)"""
 
 
-DOC_SECRETS_SQL = [_DOC_FILES, lines_cte(), _secrets_sql()]
-FILE_SECRETS_SQL = _secrets_sql()
+_SECRET_TEXT = ("CASE ord WHEN 1 THEN 'Credential of a known format found in source: ' WHEN 2 THEN "
+                "'A string literal is assigned to a secret''s name: ' ELSE "
+                "'A random-looking string literal may be a secret: ' END || evidence")
 
 
-@query("secrets_all", with_ctes(FILES, lines_cte(), _secrets_sql(), select="""
-SELECT repo_id, file, CAST(line AS BIGINT) AS line, title, severity, CAST(confidence AS DOUBLE)
-  AS confidence, evidence FROM secret_findings"""))
+@query("secrets_all", with_ctes(FILES, lines_cte(), _secrets_sql(), select=findings_sql(
+    "secret_findings", analyzer="'secrets'", category="'secret'", title="title", file="file",
+    line="line", severity="severity", description=_SECRET_TEXT, evidence="evidence",
+    cwe="'CWE-798'", confidence="confidence", ord="ord")))
 def secrets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_findings(Corpus(spark, sf_dir).files).select(
-        "repo_id", "file", F.col("line").cast("bigint").alias("line"), "title", "severity",
-        "confidence", "evidence")
+    return shown(secrets.secret_findings(Corpus(spark, sf_dir).files))
