@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeaudit.functions.text import let, matches, merged, newlines, numbered_lines
+from codeaudit.functions.text import let, matches, mentions, merged, newlines, numbered_lines
 from codeaudit.model import emit, finding, lookup
 from codeaudit.sources.files import SKIP_COST, only_tracked, outside, without_prefix
 
@@ -46,6 +44,8 @@ SERVERLESS_MEMORY = r"(?i)memorySize:\s*(\d+)"
 VERBS = r"\.(?:get|post|put|delete)"
 CALL = (r"(?:fetch|requests" + VERBS + r"|axios" + VERBS + r"|httpx" + VERBS + r"|aiohttp" + VERBS
         + r")\s*\(\s*['\"`]([^'\"`]{10,})['\"`]")
+MODEL_ASSIGNMENT = r"(?i)model\s*[=:]\s*[\"']?(?=([a-z0-9.-]+))"
+CALLERS = ["fetch", "requests.", "axios.", "httpx.", "aiohttp."]
 MAX_CPU, MAX_MILLICORES, MAX_MEMORY_MI, MAX_SERVERLESS_MB = 2, 2000, 4096, 512
 # ----------------------------------------------------------------------------
 
@@ -65,35 +65,36 @@ def _literal(name: str) -> str:
     return re.escape(name).replace(r"\-", "-")
 
 
-def model_pattern(model: str) -> str:
-    return r"(?i)model\s*[=:]\s*[\"']?" + _literal(model)
-
-
 def expensive_models() -> Column:
-    """One finding per table entry and match; an entry that is a prefix of another matches both."""
-    any_model = r"(?i)model\s*[=:]\s*[\"']?(?:" + "|".join(_literal(m) for m in MODELS) + ")"
+    """One finding per table entry and match; an entry that is a prefix of another matches both.
+
+    The assignments are found once, with what follows them; entries are then told apart by it.
+    """
+    entries = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(alt).alias("cheaper"))
+                        for m, alt in MODELS.items()])
 
-    def found(model: str, cheaper: str, m: Column) -> Column:
+    def found(entry: Column, m: Column) -> Column:
+        model, cheaper = entry["model"], entry["cheaper"]
         return finding(
             **ANALYZER, severity="medium", ord=1, file=F.col("path"), line=m["line"],
-            title=f"Expensive LLM model: {model}",
-            description=f"Using expensive model '{model}'. Consider {cheaper} for cost savings.",
-            remediation=f"Replace with a cheaper model. Alternative: {cheaper}. Only use "
-                        "expensive models for tasks that require superior reasoning (complex "
-                        "analysis, code generation).",
+            title=F.concat(F.lit("Expensive LLM model: "), model),
+            description=F.concat(F.lit("Using expensive model '"), model, F.lit("'. Consider "),
+                                 cheaper, F.lit(" for cost savings.")),
+            remediation=F.concat(
+                F.lit("Replace with a cheaper model. Alternative: "), cheaper,
+                F.lit(". Only use expensive models for tasks that require superior reasoning "
+                      "(complex analysis, code generation).")),
             ai_prompt=F.concat(
-                F.lit(f"Review the use of '{model}' in "), _place(m["line"]),
-                F.lit(f". Determine if {cheaper} would be sufficient for this use case.")),
+                F.lit("Review the use of '"), model, F.lit("' in "), _place(m["line"]),
+                F.lit(". Determine if "), cheaper,
+                F.lit(" would be sufficient for this use case.")),
             confidence=0.8)
 
     content = F.col("content")
-    per_model = [F.transform(matches(content, model_pattern(m)), partial(_apply, found, m, alt))
-                 for m, alt in MODELS.items()]
-    return F.when(_is_code() & content.rlike(any_model), merged(*per_model))
-
-
-def _apply(make: Callable[..., Column], name: str, instead: str, m: Column) -> Column:
-    return make(name, instead, m)
+    hits = F.transform(matches(content, MODEL_ASSIGNMENT, 1), lambda m: F.transform(
+        F.filter(entries, lambda e: F.startswith(F.lower(m["groups"][0]), e["model"])),
+        lambda e: found(e, m)))
+    return F.when(_is_code() & F.lower("content").contains("model"), F.flatten(hits))
 
 
 def oversized_resources() -> list[Column]:
@@ -180,7 +181,7 @@ def repeated_calls() -> Column:
     calls = F.array_sort(F.transform(matches(F.col("content"), CALL, 1), lambda m: F.struct(
         m["groups"][0].alias("url"), m["line"].alias("line"))))
     repeated = F.filter(let(calls, runs), lambda run: F.size(run) >= 2)
-    return F.when(_is_code(), F.transform(repeated, found))
+    return F.when(_is_code() & mentions(F.col("content"), CALLERS), F.transform(repeated, found))
 
 
 def heavy_packages() -> list[Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeaudit.functions.text import let, matches, merged
+from codeaudit.functions.text import matches, mentions, merged
 from codeaudit.operators.structure import PY_FROM, PY_FUNCTION
 from codeaudit.sources.files import SKIP_PROFILE, only_tracked, outside
 
@@ -18,6 +18,8 @@ AUTH_MARKS = r"login_required|auth|Depends|jwt_required|permission"
 PII_PYTHON = (r"(?i)(email|password|passwd|phone|ssn|social_security|credit_card|card_number|"
               r"address|date_of_birth|dob|first_name|last_name|full_name|ip_address)")
 PII_SCRIPT = r"(?i)(email|password|phone|ssn|creditCard|cardNumber|address|dateOfBirth)"
+PII_ANCHORS = ["email", "passw", "phone", "ssn", "social_sec", "card", "address", "birth", "dob",
+               "_name"]
 SCRIPT_ROUTE = r"(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['\"]([^\n]*?)['\"]"
 EXPORTED_FUNCTION = r"export\s+(?:default\s+)?(?:async\s+)?function\s+\w+"
 GUARD_WORDS = r"(?i)auth|middleware|protect|guard|session"
@@ -78,7 +80,8 @@ def _python_auth(content: Column) -> Column:
 def _python_fields(content: Column) -> Column:
     targets = F.flatten(F.transform(matches(content, ASSIGNMENT, 1), lambda m: F.transform(
         F.split(m["groups"][0], r"\s*=\s*"), lambda t: F.substring_index(t, ".", -1))))
-    return F.filter(targets, lambda t: t.rlike(PII_PYTHON))
+    return F.when(mentions(F.lower(content), PII_ANCHORS),
+                  F.filter(targets, lambda t: t.rlike(PII_PYTHON)))
 
 
 def _python_frameworks(content: Column) -> Column:
@@ -96,14 +99,16 @@ def file_facts(files: DataFrame, tracked: DataFrame | None = None,
     content, path, ext = F.col("content"), F.col("path"), F.col("ext")
     py = ext == ".py"
     rows = files.filter(ext.isin(".py", ".js", ".ts", ".jsx", ".tsx"))
-    words = lambda p: F.regexp_extract_all(content, F.lit(p), F.lit(1))
+    lower = F.lower(content)
+    words = lambda p: F.when(mentions(lower, PII_ANCHORS), F.regexp_extract_all(
+        content, F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>"))
     guarded = content.rlike(GUARD_WORDS) & content.rlike(GUARD_VERBS)
     logs = content.contains("console.log") | content.contains("console.error")
     strings = lambda *c: F.array(*c).cast("array<string>")
     script_frameworks = F.array_compact(F.array(
         F.when(content.contains("express"), "Express"),
         F.when(F.lower(path).contains("next") | content.contains("Next"), "Next.js")))
-    has = lambda *w: F.lower(content).rlike("|".join(w))
+    has = lambda *w: mentions(lower, w)
     pick = lambda python, script: F.when(py, python).otherwise(script)
     facts = rows.select(
         "repo_id", "path",

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeaudit.functions.text import let, line_array, matches, merged, numbered_lines
+from codeaudit.functions.text import (
+    let, line_array, matches, mentions, merged, numbered_lines,
+)
 from codeaudit.model import emit, finding, lookup
 from codeaudit.sources.files import with_language
 
@@ -24,6 +26,7 @@ class LineRule:
     level: str
     languages: tuple[str, ...]
     cwe: str
+    anchors: tuple[str, ...]  # every match of the pattern contains one of them
     message: str
     pattern: str
 
@@ -40,25 +43,30 @@ NOT_REMOTE = (r"(?!localhost)(?!127\.)(?!0\.0\.0\.0)(?!\[::1\])(?!example\.)(?!s
 # --- fixed values: rule ids, levels, weakness numbers and messages ---------------------
 LINE_RULES = [
     LineRule("va-eval-usage", "sast", "ERROR", CODE, "CWE-95",
+             ("eval", "exec"),
              "Avoid eval()/exec() — they execute arbitrary code and are a common source of remote "
              "code execution (RCE) vulnerabilities.",
              r"(?:^|[^\w.])(?:eval|exec)\s*\("),
     LineRule("va-broad-cors", "sast", "WARNING", PY, "CWE-942",
+             ("CORS", "allow_origins"),
              "CORS configured with origins=\"*\" allows any website to make authenticated "
              "requests to your API. Restrict to trusted domains.",
              r"\bCORS\s*\([^\n]*\borigins\s*=\s*[\"']\*[\"']"
              r"|\bCORS\s*\([^\n]*[\"']origins[\"']\s*:\s*[\"']\*[\"']"
              r"|\ballow_origins\s*=\s*\[\s*[\"']\*[\"']\s*\]"),
     LineRule("va-hardcoded-jwt", "sast", "ERROR", CODE, "CWE-798",
+             ("jwt.",),
              "JWT secret is hard-coded as a string literal. Move it to an environment variable or "
              "secrets manager.",
              r"\bjwt\.(?:encode|sign|decode)\s*\(\s*[^,\n]+,\s*[\"'][^\"'\n]*[\"']"),
     LineRule("va-client-side-auth", "sast", "WARNING", JS, "CWE-603",
+             ("Storage.getItem",),
              "Relying on localStorage/sessionStorage tokens for auth checks is insecure — tokens "
              "can be tampered with. Validate on the server side.",
              r"\bif\s*\(\s*(?:localStorage\.getItem\(\s*[\"'](?:token|auth)[\"']\s*\)"
              r"|sessionStorage\.getItem\(\s*[\"']token[\"']\s*\))\s*\)"),
     LineRule("va-pii-in-logs", "gdpr", "WARNING", CODE, "CWE-532",
+             ("logging.", "print", "console.log"),
              "PII field (email, password, phone, ssn) is being logged or printed. This violates "
              "GDPR data minimisation. Mask or redact PII before logging.",
              r"(?:^|[^\w.])(?:logging\.info|print|console\.log)\s*\((?:[^()\n]*,)?\s*" + ARG
@@ -67,38 +75,45 @@ LINE_RULES = [
              + r"\.(?:email|password)\s*[,)]"
              r"|(?:^|[^\w.])logging\.\w+\s*\(\s*f[\"'][^\n]*\{" + ARG + r"\." + FIELDS + r"\}"),
     LineRule("va-password-in-url", "gdpr", "WARNING", ANY, "CWE-598",
+             ("password=", "token=", "secret=", "api_key="),
              "Sensitive data (password/token) is passed as a URL query parameter. Query strings "
              "are logged in server access logs, browser history, and referrer headers. Use POST "
              "body or headers instead.",
              r"[?&](password|token|secret|api_key)="),
     LineRule("va-no-https", "gdpr", "INFO", ANY, "CWE-319",
+             ("http://",),
              "Plain HTTP URL to an external host detected. Use HTTPS to prevent man-in-the-middle "
              "attacks and comply with data-in-transit encryption requirements under GDPR. "
              "(Localhost and test URLs are excluded.)",
              "http://" + NOT_REMOTE + PLAIN_HTTP_HOST),
     LineRule("va-hardcoded-secret-key", "soc2", "ERROR", PY, "CWE-798",
+             ("SECRET_KEY", "secret_key"),
              "SECRET_KEY is hard-coded as a string literal. Move it to an environment variable or "
              "a secrets manager to comply with SOC 2 credential management controls.",
              r"^\s*(?:SECRET_KEY|secret_key)\s*=\s*[\"'][^\"'\n]*[\"']"
              r"|\w\.secret_key\s*=\s*[\"'][^\"'\n]*[\"']"
              r"|\w\.config\[[\"']SECRET_KEY[\"']\]\s*=\s*[\"'][^\"'\n]*[\"']"),
     LineRule("va-debug-in-prod", "soc2", "WARNING", PY, "CWE-215",
+             ("DEBUG", "debug"),
              "DEBUG mode is enabled. Running with DEBUG=True in production exposes detailed error "
              "pages, stack traces, and potentially sensitive config. Set DEBUG=False for "
              "production deployments.",
              r"^\s*(?:DEBUG|debug)\s*=\s*True\b|\w\.debug\s*=\s*True\b"
              r"|\w\.run\([^)\n]*\bdebug\s*=\s*True\b|\w\.config\[[\"']DEBUG[\"']\]\s*=\s*True\b"),
     LineRule("va-llm-output-to-eval", "injection", "ERROR", PY, "CWE-95",
+             ("eval", "exec"),
              "LLM output is passed to eval()/exec(). An attacker who controls the prompt can "
              "achieve arbitrary code execution. Parse structured output instead (JSON, AST, etc.).",
              r"(?:^|[^\w.])(?:eval|exec)\s*\(\s*[A-Za-z_][^,\n]*\)"),
     LineRule("va-llm-output-to-subprocess", "injection", "ERROR", PY, "CWE-78",
+             ("subprocess.", "os.system"),
              "A command derived from LLM output is executed via subprocess or os.system with "
              "shell=True. This can lead to command injection. Validate and sanitize all "
              "LLM-generated commands.",
              r"\bsubprocess\.(?:run|call|Popen)\s*\([^\n]*\bshell\s*=\s*True\b"
              r"|(?:^|[^\w.])os\.system\s*\("),
     LineRule("va-missing-output-validation", "injection", "ERROR", JS, "CWE-79",
+             ("InnerHTML", "innerHTML", "document.write"),
              "LLM output is rendered in the DOM without sanitization, enabling XSS if the model "
              "returns malicious HTML/JS. Sanitize with DOMPurify or escape before rendering.",
              r"<[A-Za-z][^<>\n]*\bdangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:"
@@ -107,17 +122,20 @@ LINE_RULES = [
 
 SQL_CONCAT = LineRule(
     "va-sql-string-concat", "sast", "ERROR", CODE, "CWE-89",
+    (".execute", ".query"),
     "SQL query built with string concatenation or f-strings is vulnerable to SQL injection. Use "
     "parameterized queries instead.",
     r"\w\.execute\s*\(\s*(?:f[\"']|(?:\"[^\"\n]*\"|'[^'\n]*')\s*(?:\+|%|\.format\s*\())"
     r"|\w\.query\s*\(\s*(?:f[\"']|(?:\"[^\"\n]*\"|'[^'\n]*')\s*\+)")
 INNER_HTML = LineRule(
     "va-dangerous-inner-html", "sast", "WARNING", JS, "CWE-79",
+    ("dangerouslySetInnerHTML",),
     "dangerouslySetInnerHTML can lead to Cross-Site Scripting (XSS). Sanitize input with "
     "DOMPurify or use safe rendering methods.",
     r"<[A-Za-z][^<>]*\bdangerouslySetInnerHTML\s*=\s*\{")
 ERROR_LEAK = LineRule(
     "va-error-leak", "gdpr", "WARNING", PY, "CWE-209",
+    ("format_exc",),
     "Full stack trace is returned in an HTTP response. This leaks internal implementation details "
     "to attackers. Log the trace server-side and return a generic error to the client.",
     r"(?m)^([ \t]*)except\b[^\n:]*:[^\n]*(?:\n(?:\1[ \t]+\S[^\n]*|[ \t]*(?=\n)))*+")
@@ -125,12 +143,14 @@ LEAKED_RETURN = (r"\breturn\s+(?:[\w.]+\(\s*traceback\.format_exc\(\)\s*[,)]"
                  r"|jsonify\(\s*\{\s*[\"']error[\"']\s*:\s*traceback\.format_exc\(\)\s*\}\s*\))")
 OPEN_ROUTE = LineRule(
     "va-no-auth-middleware", "soc2", "WARNING", PY, "CWE-306",
+    (".route(", ".get(", ".post("),
     "API route is missing authentication middleware (login_required / Depends(auth)). All "
     "non-public endpoints must enforce authentication per SOC 2 access-control requirements.",
     r"(?m)^[ \t]*@\w+\.(route|get|post)\([^\n]*\)[ \t]*\n((?:[ \t]*@[^\n]*\n)*+)"
     r"[ \t]*def[ \t]+\w+[ \t]*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)")
 USER_INPUT = LineRule(
     "va-user-input-to-llm", "injection", "ERROR", PY, "CWE-77",
+    (".create",),
     "User-controlled input is interpolated directly into an LLM prompt via f-string. This enables "
     "prompt injection attacks. Sanitize or template the input before sending to the model.",
     r"(?:\.chat\.completions\.create|\.messages\.create|\bopenai\.ChatCompletion\.create)\s*"
@@ -167,24 +187,25 @@ def _gate(rule: LineRule) -> Column:
 def line_rule_hits(family: str) -> Column:
     """Array of (line_no, line, rule_id) of the family's line rules.
 
-    A text without any hit is dropped by one alternation before it is cut into lines; a line
-    without one is dropped before the rules are told apart.
+    A text or line that holds none of a rule's anchor words is out by a plain search; patterns
+    see only what is left.
     """
     rules = [r for r in LINE_RULES if r.family == family]
-    anywhere = "|".join(f"(?:{r.pattern})" for r in rules)
     content = F.col("content")
-    possible = content.rlike("(?m)" + anywhere)
-    if all(r.languages for r in rules):
-        possible = F.col("lang").isNotNull() & possible
+    anchors = {a for r in rules for a in r.anchors}
+    possible = F.lit(False)
+    for r in rules:
+        possible = possible | (_gate(r) & mentions(content, r.anchors))
 
     def of_line(n: Column) -> Column:
-        tests = [F.when(_gate(r) & n["text"].rlike(r.pattern)
-                        & (~n["text"].rlike(COMMENT) if r.languages else F.lit(True)),
-                        F.struct(n["line_no"].alias("line_no"), n["text"].alias("line"),
+        text = n["text"]
+        tests = [F.when(_gate(r) & mentions(text, r.anchors) & text.rlike(r.pattern)
+                        & (~text.rlike(COMMENT) if r.languages else F.lit(True)),
+                        F.struct(n["line_no"].alias("line_no"), text.alias("line"),
                                  F.lit(r.id).alias("rule_id"))) for r in rules]
         return F.array_compact(F.array(*tests))
 
-    lines = F.filter(numbered_lines(content), lambda n: n["text"].rlike(anywhere))
+    lines = F.filter(numbered_lines(content), lambda n: mentions(n["text"], sorted(anchors)))
     return F.when(possible, F.flatten(F.transform(lines, of_line)))
 
 
@@ -193,7 +214,7 @@ def _text_rule_hits(rule: LineRule, groups: int = 0,
     found = matches(F.col("content"), rule.pattern, groups)
     if condition is not None:
         found = F.filter(found, condition)
-    return F.when(_gate(rule), F.transform(found, lambda m: F.struct(
+    return F.when(_gate(rule) & mentions(F.col("content"), rule.anchors), F.transform(found, lambda m: F.struct(
         m["line"].alias("line_no"), F.get(F.split(m["match"], "\n"), 0).alias("line"),
         F.lit(rule.id).alias("rule_id"))))
 

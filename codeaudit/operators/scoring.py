@@ -24,12 +24,12 @@ def with_group(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
     return findings.withColumn("grp", lookup(groups, F.col("category"), DEFAULT_GROUP))
 
 
-def group_scores(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
-    """(repo_id, grp, n_findings, score): 100 less penalties with diminishing returns.
+def group_state(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
+    """(repo_id, grp, cost, n_findings, first): all that a group's score depends on.
 
     In order of penalty, ties in order of emission, the first three findings of a group cost their
-    full penalty, the next two a half, all others a quarter, each times its confidence. So the
-    score needs the sum over all findings and the first five by order. Rows are shuffled once by
+    full penalty, the next two a half, all others a quarter, each times its confidence. So a score
+    needs the sum over all findings and the first five by order. Rows are shuffled once by
     (repo_id, grp, salt); each salt yields its sum and its own first five, and the second
     aggregation sees at most five rows per salt, however large a group is.
     """
@@ -46,21 +46,37 @@ def group_scores(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
         Window.partitionBy("repo_id", "grp", "salt").orderBy(*keys)))
     first = F.collect_list(F.when(F.col("pos") <= 5, F.struct(*keys, "cost")))
     salted = ranked.groupBy("repo_id", "grp", "salt").agg(
-        F.sum("cost").alias("cost"), F.count("*").alias("n"), first.alias("first"))
-    merged = salted.groupBy("repo_id", "grp").agg(
-        F.sum("cost").alias("cost"), F.sum("n").alias("n_findings"),
+        F.sum("cost").cast("decimal(28,6)").alias("cost"), F.count("*").alias("n_findings"),
+        first.alias("first"))
+    return merge_states(salted.drop("salt"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of parts of a repository's findings as one state per group."""
+    return states.groupBy("repo_id", "grp").agg(
+        F.sum("cost").cast("decimal(28,6)").alias("cost"),
+        F.sum("n_findings").alias("n_findings"),
         F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 5).alias("first"))
+
+
+def scores_of(states: DataFrame) -> DataFrame:
+    """(repo_id, grp, n_findings, score) of group states."""
     extra = F.aggregate(
         F.transform("first", lambda f, i: f["cost"] * F.when(i < 3, F.lit(0.75)).otherwise(
             F.lit(0.25)).cast("decimal(3,2)")),
         F.lit(0).cast("decimal(38,8)"), lambda acc, x: (acc + x).cast("decimal(38,8)"))
     lost = F.col("cost") * F.lit("0.25").cast("decimal(3,2)") + extra
-    return merged.select(
+    return states.select(
         "repo_id", "grp", "n_findings",
         F.greatest(F.lit(100) - lost, F.lit(0).cast("decimal(38,8)"))
          .cast("decimal(18,8)").alias("score"))
 
 
+def group_scores(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
+    """(repo_id, grp, n_findings, score): 100 less penalties with diminishing returns."""
+    return scores_of(group_state(findings, strict_groups))
+
+
 def scanned_runs(runs: DataFrame, mode: str = "full", only_ok: bool = False) -> DataFrame:
     """Analyzer runs that count: those of the mode; a failed run counts unless ``only_ok``."""
     if mode not in ("full", "fast"):

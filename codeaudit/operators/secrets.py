@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeaudit.functions.text import let, mask, numbered_lines, shannon_entropy
+from codeaudit.functions.text import let, mask, mentions, numbered_lines, shannon_entropy
 from codeaudit.model import emit, finding
 
 # --- fixed values: name, severity, title, CWE, pattern (group 1 is the secret) ---
@@ -19,6 +19,8 @@ KNOWN_FORMATS = [
 ]
 KEYWORD = (r"(?i)\b(?:token|secret|password|passwd|api_?key)[\"']?\s*[:=]\s*"
            r"[\"']([^\"'\s]{8,})[\"']")
+KEYWORD_NAMES = ["token", "secret", "password", "passwd", "apikey", "api_key"]
+FORMAT_ANCHORS = ["AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "PRIVATE KEY-----", "eyJ"]
 QUOTED_TOKEN = r"[\"']([A-Za-z0-9+/=_-]{20,})[\"']"
 MIN_ENTROPY_HEX = 3.0
 MIN_ENTROPY_MIXED = 4.5
@@ -31,11 +33,14 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def _per_line(pattern: str, of_line: Callable[[Column, Column], Column]) -> Column:
-    """Concatenated arrays of the lines that match; a text without a match is not cut up."""
+def _per_line(pattern: str, of_line: Callable[[Column, Column], Column],
+              gate: Column | None = None) -> Column:
+    """Concatenated arrays of the lines that match; a text without a match is not cut up, one
+    outside the gate not even searched."""
     content = F.col("content")
+    gate = F.lit(True) if gate is None else gate
     lines = F.filter(numbered_lines(content), lambda n: n["text"].rlike(pattern))
-    return F.when(content.rlike(pattern), F.flatten(F.transform(
+    return F.when(gate & content.rlike(pattern), F.flatten(F.transform(
         lines, lambda n: of_line(n["line_no"], n["text"]))))
 
 
@@ -48,13 +53,14 @@ def known_formats() -> Column:
             F.lit(severity).alias("severity"), F.lit(title).alias("title"), s.alias("secret")))
 
     return _per_line(ANY_FORMAT, lambda n, t: F.flatten(F.array(
-        *[hits(n, t, rule) for rule in KNOWN_FORMATS])))
+        *[hits(n, t, rule) for rule in KNOWN_FORMATS])), mentions(F.col("content"), FORMAT_ANCHORS))
 
 
 def keyword_assignments() -> Column:
     """Array of (line_no, secret): string literals assigned to a telling name."""
     return _per_line(KEYWORD, lambda n, t: F.transform(_all(t, KEYWORD), lambda s: F.struct(
-        n.alias("line_no"), s.alias("secret"))))
+        n.alias("line_no"), s.alias("secret"))),
+        mentions(F.lower("content"), KEYWORD_NAMES))
 
 
 def random_tokens(min_hex: float = MIN_ENTROPY_HEX, min_mixed: float = MIN_ENTROPY_MIXED,

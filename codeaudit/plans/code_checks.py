@@ -279,7 +279,7 @@ def _cost(*numbers: int):
 
 
 query("cost_models", with_ctes(FILES, *[
-    matches_cte(f"m{i}", cost.model_pattern(m), _COST_CODE) for i, m in enumerate(cost.MODELS)],
+    matches_cte(f"m{i}", r"(?i)model\s*[=:]\s*[\"']?" + m.replace(".", "[.]"), _COST_CODE) for i, m in enumerate(cost.MODELS)],
     "hits AS (" + " UNION ALL ".join(
         f"SELECT repo_id, path, line_no, '{m}' AS model, {sql_text(alt)} AS alt FROM m{i}"
         for i, (m, alt) in enumerate(cost.MODELS.items())) + ")", select=findings_sql(
