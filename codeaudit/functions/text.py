@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MARK = "\u0001"
+MARK, SEPARATOR, BODY, END = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def strip(col: Column) -> Column:
@@ -54,35 +54,45 @@ def numbered_lines(content: Column) -> Column:
         (i + 1).alias("line_no"), text.alias("text")))
 
 
-def matches(content: Column, pattern: str, groups: int = 0) -> Column:
-    """Array of (hit_no, line, match, before, groups) of a text; null where nothing matches.
+def matches(content: Column, pattern: str, groups: int = 0, before: bool = False) -> Column:
+    """Array of (line, match, before, groups) of a text; null where nothing matches.
 
-    ``line`` counts the newlines before the match: a mark is set in front of every match and the
-    text is cut at newlines once, so the cost is linear. ``before`` is the text in front of the
-    match, at least 20 characters of it where there are as many.
+    One replacement, the only search for the pattern, puts a mark and the groups in front of every
+    match and an end behind it; all else is cutting at those signs, so the cost is linear.
+    ``line`` counts the newlines before the match. ``before`` (if asked for, else empty) is the
+    text in front of the match, at least 20 characters of it where there are as many.
     """
-    def count(text: Column) -> Column:
-        return (F.length(text) - F.length(F.translate(text, MARK, ""))).cast("int")
-
-    def located(text: Column, marked: Column) -> Column:
-        starts = F.flatten(F.transform(F.split(marked, "\n", -1),
-                                       lambda s, i: F.array_repeat(i + 1, count(s))))
-        pieces = F.split(marked, MARK, -1)
-        befores = let(pieces, lambda ps: F.transform(
-            F.slice(ps, 1, F.size(ps) - 1), lambda p, i: F.right(F.concat(
-                F.when(i > 0, F.get(ps, i - 1)).otherwise(F.lit("")), p), F.lit(200))))
-        texts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}")
-                 for g in range(groups + 1)]
-        zipped = F.arrays_zip(starts.alias("line"), befores.alias("before"), *texts)
-        inner = [F.lit("")] if not groups else []
-        return F.transform(zipped, lambda z, i: F.struct(
-            (i + 1).alias("hit_no"), z["line"].alias("line"), z["g0"].alias("match"),
-            z["before"].alias("before"),
-            F.array(*inner, *[z[f"g{g}"] for g in range(1, groups + 1)]).alias("groups")))
-
-    found = let(F.translate(content, MARK, ""), lambda text: let(
-        F.regexp_replace(text, pattern, MARK + "$0"), lambda marked: located(text, marked)))
-    return F.when(content.rlike(pattern), found)
+    heads = SEPARATOR.join(f"${g}" for g in range(1, groups + 1))
+    signs = MARK + heads + BODY + "$0" + END
+
+    def after(piece: Column) -> Column:
+        return F.substring_index(piece, BODY, -1)
+
+    def located(pieces: Column, marked: Column) -> Column:
+        plain = F.regexp_replace(F.translate(marked, END, ""), MARK + "[^" + BODY + "]*" + BODY,
+                                 MARK)
+        starts = F.flatten(F.transform(F.split(plain, "\n", -1), lambda s, i: F.array_repeat(
+            i + 1, (F.length(s) - F.length(F.translate(s, MARK, ""))).cast("int"))))
+
+        def hit(piece: Column, i: Column) -> Column:
+            ahead = F.lit("")
+            if before:
+                earlier = F.when(i > 0, F.get(pieces, i - 1)).otherwise(F.lit(""))
+                ahead = F.translate(F.concat(F.right(after(earlier), F.lit(200)), F.right(
+                    after(F.get(pieces, i)), F.lit(200))), END, "")
+            return F.struct(
+                F.substring_index(after(piece), END, 1).alias("match"), ahead.alias("before"),
+                F.split(F.substring_index(piece, BODY, 1), SEPARATOR, -1).alias("groups"))
+
+        hits = F.transform(F.slice(pieces, 2, F.size(pieces)), hit)
+        return F.zip_with(hits, starts, lambda h, line: F.struct(
+            line.alias("line"), h["match"].alias("match"), h["before"].alias("before"),
+            h["groups"].alias("groups")))
+
+    marked = F.regexp_replace(F.translate(content, MARK + SEPARATOR + BODY + END, ""), pattern,
+                              signs)
+    return let(marked, lambda text: F.when(text.contains(MARK), let(
+        F.split(text, MARK, -1), lambda pieces: located(pieces, text))))
 
 
 def merged(*arrays: Column) -> Column:

@@ -206,7 +206,8 @@ def controls(facts: DataFrame) -> DataFrame:
 
 
 def profiles(facts: DataFrame) -> DataFrame:
-    """(repo_id, profile): the structural summary that a compliance review reads."""
+    """(repo_id, profile): the structural summary that a compliance review reads. Takes several
+    passes over ``facts``, so hand in a stored table."""
     found = with_protection(routes(facts), auth_functions(facts))
     counts = found.groupBy("repo_id").agg(F.count_if("protected").alias("n_protected"),
                                           F.count_if(~F.col("protected")).alias("n_open"))

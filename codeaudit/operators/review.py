@@ -110,7 +110,8 @@ def compliance_replies(replies: DataFrame) -> DataFrame:
 def digests(findings: DataFrame) -> DataFrame:
     """(repo_id, digest): totals, counts by severity and category, the fifteen most severe.
 
-    Counts are combined before the shuffle; the ranking keeps fifteen rows per repository and task.
+    Reads the findings three times, so hand in a stored table. Counts are combined before the
+    shuffle; the ranking keeps fifteen rows per repository and task.
     """
     cells = findings.groupBy("repo_id", "severity", "category").agg(F.count("*").alias("n"))
 

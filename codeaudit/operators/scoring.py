@@ -95,17 +95,23 @@ def with_clean_groups(scores: DataFrame, runs: DataFrame) -> DataFrame:
         F.max("n_findings").alias("n_findings"), F.min("score").alias("score"))
 
 
+def _weighted() -> list[Column]:
+    weight = lookup(WEIGHTS, F.col("grp"), DEFAULT_WEIGHT).cast("decimal(4,3)")
+    return [F.sum(F.col("score") * weight).alias("points"), F.sum(weight).alias("weight")]
+
+
+def _mean() -> Column:
+    """Mean by weight with one decimal, ties up; 100 where there is no group."""
+    return F.coalesce(F.round(F.col("points") / F.col("weight"), 1).cast("double"), F.lit(100.0))
+
+
 def composite(scores: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """(repo_id, score) by weight over the groups present; a listed repository without groups
-    scores 100. One decimal, ties up."""
-    weight = lookup(WEIGHTS, F.col("grp"), DEFAULT_WEIGHT).cast("decimal(4,3)")
-    sums = scores.groupBy("repo_id").agg(
-        F.sum(F.col("score") * weight).alias("points"), F.sum(weight).alias("weight"))
-    out = sums.select("repo_id", F.round(F.col("points") / F.col("weight"), 1).alias("score"))
+    scores 100."""
+    sums = scores.groupBy("repo_id").agg(*_weighted())
     if repos is not None:
-        out = repos.select("repo_id").distinct().join(out, "repo_id", "left")
-    return out.select("repo_id", F.coalesce(F.col("score").cast("double"), F.lit(100.0))
-                      .alias("score"))
+        sums = repos.select("repo_id").distinct().join(sums, "repo_id", "left")
+    return sums.select("repo_id", _mean().alias("score"))
 
 
 def _steps(score: Column, steps: Sequence[tuple[int, str]], last: str) -> Column:
@@ -175,11 +181,12 @@ def scorecard(findings: DataFrame, runs: DataFrame, inventory: DataFrame,
     counted = scanned_runs(runs, mode, only_ok)
     scores = with_clean_groups(group_scores(findings, strict_groups), counted)
     repos = inventory.select("repo_id").union(runs.select("repo_id"))
-    per_group = scores.groupBy("repo_id").agg(
+    # one aggregation for all of it: the findings behind the scores are computed once
+    sums = scores.groupBy("repo_id").agg(
+        *_weighted(), F.sum("n_findings").alias("findings_count"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            "grp", F.round("score", 1).cast("double").alias("score"))))).alias("category_scores"),
-        F.sum("n_findings").alias("findings_count"))
-    out = (graded(composite(scores, repos)).join(per_group, "repo_id", "left")
+            "grp", F.round("score", 1).cast("double").alias("score"))))).alias("category_scores"))
+    out = (repos.distinct().join(sums, "repo_id", "left").withColumn("score", _mean())
            .join(inventory, "repo_id", "left"))
     if tokens is not None:
         out = out.join(tokens.select("repo_id", F.col("tokens").alias("tokens_used")),
@@ -191,8 +198,8 @@ def scorecard(findings: DataFrame, runs: DataFrame, inventory: DataFrame,
     else:
         out = out.withColumn("scan_time", F.lit(0.0))
     return out.select(
-        "repo_id", "score", "grade", "verdict",
-        F.coalesce("findings_count", F.lit(0)).alias("findings_count"), "category_scores",
+        "repo_id", "score", grade(F.col("score")).alias("grade"),
+        verdict(F.col("score")).alias("verdict"), F.coalesce("findings_count", F.lit(0)).alias("findings_count"), "category_scores",
         "scan_time", F.coalesce("languages", F.array().cast("array<string>")).alias("languages"),
         F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"),
         F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"))

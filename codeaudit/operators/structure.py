@@ -156,8 +156,8 @@ def script_functions(content: Column) -> Column:
         return _function(m["groups"][0], _script_params(m["groups"][1]), m["line"], F.lit(0),
                          F.lit(False), strip(around).startswith("export"), _strings())
 
-    return merged(F.transform(matches(content, JS_FUNCTION, 2), declared),
-                  F.transform(matches(content, JS_ARROW, 2), arrow))
+    return merged(F.transform(matches(content, JS_FUNCTION, 2, before=True), declared),
+                  F.transform(matches(content, JS_ARROW, 2, before=True), arrow))
 
 
 def functions(code: DataFrame) -> DataFrame:

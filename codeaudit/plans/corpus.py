@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeaudit.sources.files import with_names
+from codeaudit.sources.files import spread, with_names
 
 # (path below the repository root, whether the document's text comes first, passage)
 # {id} is the document's number.
@@ -482,24 +482,30 @@ class Corpus:
     @cached_property
     def documents(self) -> DataFrame:
         """Documents as files of prose, one repository per source."""
-        return self.table("documents").select(
+        return spread(self.table("documents").select("doc_id", "source", "text")).select(
             F.col("source").alias("repo_id"),
             F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("path"),
             F.lit(".txt").alias("ext"), F.col("text").alias("content"), "doc_id")
 
     @cached_property
     def files(self) -> DataFrame:
-        return files_of(self.table("documents"))
+        return files_of(spread(self.table("documents").select("doc_id", "source", "text")))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """The files without their contents, for inventories and lists of repositories."""
+        return files_of(self.table("documents").select("doc_id", "source", F.lit("").alias("text"))
+                        ).drop("content")
 
     @cached_property
     def git_repos(self) -> DataFrame:
         even = F.right(F.split_part("repo_id", F.lit("-"), F.lit(1)), F.lit(1))
-        return (self.files.select("repo_id").distinct()
+        return (self.names.select("repo_id").distinct()
                 .filter(even.isin("0", "2", "4", "6", "8")))
 
     @cached_property
     def tracked(self) -> DataFrame:
-        return (self.files.select("repo_id", "path", "doc_id")
+        return (self.names.select("repo_id", "path", "doc_id")
                 .join(self.table("labels").select("doc_id"), "doc_id")
                 .join(self.git_repos, "repo_id", "left_semi").select("repo_id", "path"))
 

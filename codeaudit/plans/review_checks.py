@@ -9,6 +9,7 @@ from codeaudit.plans.common import FILES, ORACLE, lines_cte, query, shown, with_
 from codeaudit.plans.corpus import Corpus, sql_text
 from codeaudit.plans.rule_checks import _none_of
 from codeaudit.sources import files as S
+from codeaudit.sources.work import stored
 
 # --- profile ----------------------------------------------------------------------------------
 _PROFILED = "ext IN ('.py', '.js', '.ts', '.jsx', '.tsx') AND " + _none_of(S.SKIP_PROFILE)
@@ -150,7 +151,7 @@ LEFT JOIN auths a ON a.repo_id = c.repo_id LEFT JOIN pii_text t ON t.repo_id = c
 
 @query("profile_text", _PROFILE_SQL)
 def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profiles(_facts(spark, sf_dir))
+    return profile.profiles(stored(_facts(spark, sf_dir), "facts"))
 
 
 # --- prompt-injection reviews -----------------------------------------------------------------

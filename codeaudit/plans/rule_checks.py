@@ -37,7 +37,7 @@ SELECT repo_id, coalesce(string_agg(DISTINCT {REPORT_LANG_SQL}, ',' ORDER BY {RE
   AS languages FROM inventory GROUP BY repo_id"""))
 def corpus_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return S.inventory(c.files, c.tracked, c.git_repos).select(
+    return S.inventory(c.names, c.tracked, c.git_repos).select(
         "repo_id", F.array_join("languages", ",").alias("languages"))
 
 
@@ -46,7 +46,7 @@ SELECT repo_id, CAST(count(*) FILTER (ext IN ({', '.join(f"'{e}'" for e in S.SCA
   AS files_scanned FROM inventory GROUP BY repo_id"""))
 def corpus_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return S.inventory(c.files, c.tracked, c.git_repos).select("repo_id", "files_scanned")
+    return S.inventory(c.names, c.tracked, c.git_repos).select("repo_id", "files_scanned")
 
 
 @query("corpus_tracked", with_ctes(FILES, TRACKED, select="""
@@ -100,10 +100,10 @@ SELECT repo_id, path, CAST(i AS BIGINT) AS hit_no, CAST(line_no AS BIGINT) AS li
 FROM hits"""))
 def match_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = Corpus(spark, sf_dir).files.select(
-        "repo_id", "path", F.inline(matches(F.col("content"), _CALL, 1)))
-    return hits.select("repo_id", "path", F.col("hit_no").cast("bigint").alias("hit_no"),
-                       F.col("line").cast("bigint").alias("line"),
-                       F.get("groups", 0).alias("called"))
+        "repo_id", "path", F.posexplode(matches(F.col("content"), _CALL, 1)).alias("pos", "m"))
+    return hits.select("repo_id", "path", (F.col("pos") + 1).cast("bigint").alias("hit_no"),
+                       F.col("m.line").cast("bigint").alias("line"),
+                       F.get("m.groups", 0).alias("called"))
 
 
 # --- rule families ----------------------------------------------------------------------------

@@ -80,7 +80,7 @@ def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repos(c: Corpus) -> DataFrame:
-    return c.files.select("repo_id").distinct()
+    return c.names.select("repo_id").distinct()
 
 
 def runs_of(c: Corpus) -> DataFrame:
@@ -197,7 +197,7 @@ SELECT repo_id, concat_ws(chr(10), 'Total: ' || total || ' findings', 'By severi
   'By category: ' || cat.t, '', 'All issues (by severity):', listed) AS digest
 FROM sev JOIN cat USING (repo_id) JOIN lines USING (repo_id)"""))
 def findings_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.digests(scored_findings(spark, sf_dir))
+    return review.digests(stored(scored_findings(spark, sf_dir), "findings"))
 
 
 # --- the whole audit --------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every analyzer over every repository, scored and graded: the flagship query."""
     c = Corpus(spark, sf_dir)
     cards = scoring.scorecard(audited(spark, sf_dir), runs_of(c),
-                              S.inventory(c.files, c.tracked, c.git_repos))
+                              S.inventory(c.names, c.tracked, c.git_repos))
     groups = F.transform(F.map_entries("category_scores"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("decimal(10,1)").cast("string")))
     return cards.select("repo_id", "score", "grade", "verdict", "findings_count",
@@ -261,7 +261,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- exports ----------------------------------------------------------------------------------
 def _cards(spark: SparkSession, sf_dir: str, findings: DataFrame) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return scoring.scorecard(findings, runs_of(c), S.inventory(c.files))
+    return scoring.scorecard(findings, runs_of(c), S.inventory(c.names))
 
 
 @query("export_roundtrip", ORACLE["rules_sast"])

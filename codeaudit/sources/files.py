@@ -117,3 +117,13 @@ def inventory(files: DataFrame, tracked: DataFrame | None = None,
     return rows.groupBy("repo_id").agg(
         F.array_sort(F.collect_set(lookup(REPORT_LANGUAGES, F.col("ext")))).alias("languages"),
         F.count_if(F.col("ext").isin(SCANNABLE)).alias("files_scanned"))
+
+
+def spread(files: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """A small table with few row groups over all cores, as checks are bound by computing. The
+    size is Spark's own estimate; a large table has row groups enough and stays where it is read,
+    so its contents are never shuffled."""
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > max_bytes:
+        return files
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
