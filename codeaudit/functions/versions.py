@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _numbers(version: Column) -> Column:
+    numeric = F.filter(F.split(version, r"[.\-]", -1), lambda s: s.rlike(r"^\d"))
+    return F.transform(numeric, lambda s: F.regexp_extract(s, r"^(\d{1,9})", 1).cast("int"))
+
+
 def version_parts(version: Column) -> Column:
     """'1.2.3a4' -> [1,2,3]; segments without leading digits are dropped; nothing left -> [0]."""
-    numeric = F.filter(F.split(version, r"[.\-]", -1), lambda s: s.rlike(r"^\d"))
-    parts = F.transform(numeric, lambda s: F.regexp_extract(s, r"^(\d{1,9})", 1).cast("int"))
+    parts = _numbers(version)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(0)))
 
 
 def padded(version: Column) -> Column:
     """The first three version parts, filled up with zeros; arrays of it compare as versions."""
-    return F.slice(F.concat(version_parts(version), F.array(*[F.lit(0)] * 3)), 1, 3)
+    return F.slice(F.concat(_numbers(version), F.array(*[F.lit(0)] * 3)), 1, 3)
 
 
 def base_version(requested: Column) -> Column:

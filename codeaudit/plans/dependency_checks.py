@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codeaudit.model import emit
 from codeaudit.operators import dependencies, manifests
 from codeaudit.plans.common import (
     DEPS, FILES, REGISTRY, findings_sql, lines_cte, query, shown, with_ctes,
@@ -147,7 +148,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "\"similar\" || '''?', '')", evidence=f"{_URL} || ' → 404 Not Found'",
     where="http_status = 404")))
 def deps_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dependencies.missing_packages(_checked(spark, sf_dir)))
+    return shown(emit(_checked(spark, sf_dir), [dependencies.missing_package()]))
 
 
 @query("deps_typosquat", with_ctes(DEPS, REGISTRY, _POPULAR, CHECKED_SQL, select=findings_sql(
@@ -158,7 +159,7 @@ def deps_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "typo.'", evidence="'Levenshtein distance to ''' || \"similar\" || ''' ≤ 2'",
     where='http_status = 200 AND "similar" IS NOT NULL')))
 def deps_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dependencies.typosquats(_checked(spark, sf_dir)))
+    return shown(emit(_checked(spark, sf_dir), [dependencies.typosquat()]))
 
 
 @query("deps_stale", with_ctes(DEPS, REGISTRY, _POPULAR, CHECKED_SQL, select=findings_sql(
@@ -168,7 +169,8 @@ def deps_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence="'Requested: ' || coalesce(requested, 'unpinned') || ', Latest: ' || latest",
     where="http_status = 200 AND why IS NOT NULL")))
 def deps_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dependencies.stale_packages(_checked(spark, sf_dir), as_of()))
+    return shown(emit(dependencies.with_versions(_checked(spark, sf_dir), as_of()),
+                      [dependencies.stale_package()]))
 
 
 @query("deps_low_downloads", with_ctes(DEPS, REGISTRY, _POPULAR, CHECKED_SQL, select=findings_sql(
@@ -179,7 +181,7 @@ def deps_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "attacks.'", evidence="loads || ' weekly downloads'",
     where="http_status = 200 AND loads < 100")))
 def deps_low_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dependencies.rarely_loaded(_checked(spark, sf_dir)))
+    return shown(emit(_checked(spark, sf_dir), [dependencies.rarely_loaded()]))
 
 
 @query("deps_advisories", with_ctes(DEPS, REGISTRY, ADVISORIES_SQL, _POPULAR, CHECKED_SQL, rf"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeaudit.functions.text import base_name, extension
@@ -44,20 +47,34 @@ SKIP_HTML = ["node_modules", ".next", ".venv"]
 def read_repositories(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root/<repo_id>/...`` as rows of whole text.
 
-    Bytes that are no UTF-8 are dropped, blank files are skipped. The listing and the reading are
-    Spark's own binaryFile source, one task per group of files.
+    Bytes that are no UTF-8 are dropped, blank files are skipped. Listing and reading are Spark's
+    binaryFile source, one task per group of files. That source leaves out files whose name begins
+    with a dot; the .env files at the root of a repository, which checks need, are read in tasks
+    of their own where the root is a mounted folder.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .select("path", "content"))
-    prefix = root.rstrip("/").split(":", 1)[-1]
-    inner = F.substring_index(F.col("path"), prefix + "/", -1)
+    folder = root.rstrip("/").removeprefix("file:")
+    inner = F.substring_index(F.col("path"), folder + "/", -1)
+    rows = raw.select(F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
+                      F.regexp_replace(inner, r"^[^/]*/", "").alias("path"), "content")
+    if "://" not in folder:
+        repos = rows.select("repo_id").distinct()
+        rows = rows.unionByName(repos.mapInPandas(
+            partial(_env_files, folder), "repo_id string, path string, content binary"))
     text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    files = raw.select(F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
-                       F.regexp_replace(inner, r"^[^/]*/", "").alias("path"),
-                       text.alias("content"))
+    files = rows.withColumn("content", text)
     return with_names(files.filter(F.col("content").rlike(r"\S")))
 
 
+def _env_files(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for repos in batches:
+        for repo in repos["repo_id"]:
+            found = [p for p in sorted(Path(folder, repo).glob(".env*")) if p.is_file()]
+            yield pd.DataFrame({"repo_id": [repo] * len(found), "path": [p.name for p in found],
+                                "content": [p.read_bytes() for p in found]})
+
+
 def with_names(files: DataFrame) -> DataFrame:
     """Add ``ext`` and ``base``; store them, so that scans prune by them."""
     return (files.withColumn("ext", extension(F.col("path")))
