@@ -28,28 +28,29 @@ TOML_KEY = r"^([A-Za-z0-9_-]+)\s*="
 KEEP = ["repo_id", "path"]
 
 
-def manifest_files(files: DataFrame, tracked: DataFrame | None = None,
-                   git_repos: DataFrame | None = None) -> DataFrame:
-    """Manifests in scope with ``manifest_rank``: by kind, the root's before others.
+def manifest_files(files: DataFrame) -> DataFrame:
+    """Manifests with ``manifest_rank``: by kind, the root's before others."""
+    at_root = F.col("path") == F.col("base")
+    rank = F.array_position(F.array(*[F.lit(n) for n in MANIFESTS]), F.col("base")).cast("int")
+    return (files.filter(F.col("base").isin(list(MANIFESTS)))
+            .withColumn("manifest_rank", rank * 2 - F.when(at_root, 1).otherwise(0)))
+
+
+def in_manifest_scope(rows: DataFrame, names: DataFrame, tracked: DataFrame | None = None,
+                      git_repos: DataFrame | None = None) -> DataFrame:
+    """Rows of manifests in scope, by (repo_id, path, base); ``names`` are all manifests' keys.
 
     An untracked manifest at the root of a git repository hides all manifests of its kind there.
-    Only keys take part in the joins; texts are joined back for manifests alone.
     """
-    found = files.filter(F.col("base").isin(list(MANIFESTS)))
     at_root = F.col("path") == F.col("base")
-    rank = F.array_position(F.array(*[F.lit(n) for n in MANIFESTS]), F.col("base")).cast("int")
-    rows = found.withColumn("manifest_rank", rank * 2 - F.when(at_root, 1).otherwise(0))
-    names = rows.select("repo_id", "path", "base")
-    kept = only_tracked(names, tracked, git_repos, F.when(at_root, True).otherwise(
-        outside(F.col("path"), SKIP_MANIFESTS, dot_parts=True)))
-    if tracked is not None and git_repos is not None:
-        hidden = (names.filter(at_root).join(git_repos.select("repo_id").distinct(), "repo_id",
-                                             "left_semi")
-                  .join(tracked.select("repo_id", "path").distinct(), KEEP, "left_anti"))
-        kept = kept.join(hidden.select("repo_id", "base"), ["repo_id", "base"], "left_anti")
-        return rows.join(kept.select(KEEP), KEEP, "left_semi")
-    return rows.filter(F.when(at_root, True).otherwise(
-        outside(F.col("path"), SKIP_MANIFESTS, dot_parts=True)))
+    kept = only_tracked(rows, tracked, git_repos, at_root | outside(
+        F.col("path"), SKIP_MANIFESTS, dot_parts=True))
+    if tracked is None or git_repos is None:
+        return kept
+    hidden = (names.filter(at_root)
+              .join(git_repos.select("repo_id").distinct(), "repo_id", "left_semi")
+              .join(tracked.select("repo_id", "path").distinct(), KEEP, "left_anti"))
+    return kept.join(hidden.select("repo_id", "base"), ["repo_id", "base"], "left_anti")
 
 
 def _declared(name: Column, requested: Column, position: Column) -> Column:
@@ -166,13 +167,15 @@ def ecosystem_of(package: Column, base: Column) -> Column:
 def declared_dependencies(files: DataFrame, tracked: DataFrame | None = None,
                           git_repos: DataFrame | None = None) -> DataFrame:
     """(repo_id, manifest, manifest_rank, package, ecosystem, requested, ord) of all manifests."""
-    rows = manifest_files(files, tracked, git_repos)
+    found = manifest_files(files)
     base, content = F.col("base"), F.col("content")
     parsed = F.when(base == "requirements.txt", requirements(content))
     for name, parser in PARSERS.items():
         parsed = parsed.when(base == name, parser(content))
-    rows = rows.select("repo_id", "path", "base", "manifest_rank", F.inline(parsed))
-    return rows.filter(F.col("package") != "").select(
+    rows = found.select("repo_id", "path", "base", "manifest_rank", F.inline(parsed))
+    rows = in_manifest_scope(rows.filter(F.col("package") != ""),
+                             found.select("repo_id", "path", "base"), tracked, git_repos)
+    return rows.select(
         "repo_id", F.col("path").alias("manifest"), "manifest_rank", "package",
         ecosystem_of(F.col("package"), base).alias("ecosystem"), "requested", "ord")
 

@@ -514,7 +514,7 @@ class Corpus:
         line, qty = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
         signs = F.array(*[F.lit(s) for s in ("==", ">=", "^", "~=", "")])
         version = F.concat_ws(".", qty % 6, F.col("l_orderkey") % 8, line)
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem")).select(
             F.concat(F.lit("team-"), F.col("l_suppkey")).alias("repo_id"),
             F.when(line == 1, "requirements.txt").otherwise(
                 F.concat(F.lit("svc"), line, F.lit("/requirements.txt"))).alias("manifest"),

@@ -136,8 +136,8 @@ def unique(c: Corpus) -> DataFrame:
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    deps = unique(c)
-    return dependencies.with_facts(deps, dependencies.package_facts(deps, registry(c.registry_raw)))
+    facts = dependencies.package_facts(registry(c.registry_raw), as_of())
+    return dependencies.with_facts(unique(c), facts)
 
 
 @query("deps_missing", with_ctes(DEPS, REGISTRY, _POPULAR, CHECKED_SQL, select=findings_sql(
@@ -169,8 +169,7 @@ def deps_typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence="'Requested: ' || coalesce(requested, 'unpinned') || ', Latest: ' || latest",
     where="http_status = 200 AND why IS NOT NULL")))
 def deps_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(emit(dependencies.with_versions(_checked(spark, sf_dir), as_of()),
-                      [dependencies.stale_package()]))
+    return shown(emit(_checked(spark, sf_dir), [dependencies.stale_package()]))
 
 
 @query("deps_low_downloads", with_ctes(DEPS, REGISTRY, _POPULAR, CHECKED_SQL, select=findings_sql(

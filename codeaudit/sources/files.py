@@ -72,7 +72,7 @@ def _env_files(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
         for repo in repos["repo_id"]:
             found = [p for p in sorted(Path(folder, repo).glob(".env*")) if p.is_file()]
             yield pd.DataFrame({"repo_id": [repo] * len(found), "path": [p.name for p in found],
-                                "content": [p.read_bytes() for p in found]})
+                                "content": [p.read_bytes() for p in found]}, dtype=object)
 
 
 def with_names(files: DataFrame) -> DataFrame:
