@@ -611,6 +611,7 @@ class Corpus:
             for t, src, body in (
                 ("bandit", F.lit(""), bandit), ("semgrep", F.lit(""), semgrep),
                 ("semgrep-compliance", pick(k, "gdpr.yml", "soc2.yml"), semgrep),
+                ("semgrep-injection", F.lit(""), semgrep),
                 ("npm-audit", F.concat(F.lit("svc"), size, F.lit("/package.json")), npm),
                 ("pip-audit", F.lit("requirements.txt"), pip))]))
         rows = self.table("part").select(F.concat(F.lit("team-"), size).alias("repo_id"), "p_size",

@@ -293,6 +293,13 @@ query("ingest_semgrep_compliance", with_ctes(_PARTS, "r AS (" + _with_empty(
         "r", analyzer="'compliance'", category="cat", title="title", severity="sev", ord="ord",
         description="text", evidence="code")))(
     lambda spark, sf_dir: shown(R.semgrep_compliance(Corpus(spark, sf_dir).reports)))
+query("ingest_semgrep_injection", with_ctes(_PARTS, "r AS (" + _with_empty(
+    """repo_id, 'src/' || p_name AS path, CAST(p_partkey AS BIGINT) AS line_no,
+    'rule-' || p_size AS rule_id, p_type AS message""",
+    "repo_id, '', 1, 'prompt-injection', 'Potential prompt injection surface'") + ")",
+    select="SELECT * FROM r"))(
+    lambda spark, sf_dir: R.semgrep_injection_hits(Corpus(spark, sf_dir).reports).withColumn(
+        "line_no", F.col("line_no").cast("bigint")))
 _NPM_SEV = _pick("p_size", "critical", "high", "moderate", "low", "info", "odd")
 query("ingest_npm", with_ctes(_PARTS, "r AS (" + _with_empty(
     f"""repo_id, 'svc' || p_size || '/package.json' AS path, 'pkg-' || p_partkey AS package,
@@ -327,6 +334,7 @@ SELECT repo_id, title, text AS description, remediation, cwe, 'high' AS severity
         "repo_id", "title", "description", "remediation", "cwe", "severity"))
 query("ingest_malformed", """
 SELECT tool, count(*) FILTER (p_size = 50) AS malformed, count(*) AS total
-FROM part, (VALUES ('bandit'), ('semgrep'), ('semgrep-compliance'), ('npm-audit'), ('pip-audit'))
+FROM part, (VALUES ('bandit'), ('semgrep'), ('semgrep-compliance'),
+  ('semgrep-injection'), ('npm-audit'), ('pip-audit'))
   AS t(tool) GROUP BY tool""")(
     lambda spark, sf_dir: R.malformed_counts(Corpus(spark, sf_dir).reports))

@@ -109,15 +109,16 @@ def only_tracked(rows: DataFrame, tracked: DataFrame | None, git_repos: DataFram
     """Tracked rows of git repositories, and rows of the others that satisfy ``otherwise``.
 
     ``rows`` is anything keyed by (repo_id, path). Give it narrow rows (keys, findings) rather
-    than file contents: then only keys are shuffled. Without tables of tracked files only the
-    condition applies.
+    than file contents: then only keys are shuffled. Both tables are joined as flags, so ``rows``
+    is computed once. Without tables of tracked files only the condition applies.
     """
     if tracked is None or git_repos is None:
         return rows.filter(otherwise)
-    repos = git_repos.select("repo_id").distinct()
-    names = tracked.select("repo_id", "path").distinct()
-    return rows.join(names, ["repo_id", "path"], "left_semi").unionByName(
-        rows.filter(otherwise).join(repos, "repo_id", "left_anti"))
+    repos = git_repos.select("repo_id", F.lit(True).alias("_git")).distinct()
+    names = tracked.select("repo_id", "path", F.lit(True).alias("_tracked")).distinct()
+    keep = F.when(F.col("_git"), F.coalesce("_tracked", F.lit(False))).otherwise(otherwise)
+    return (rows.join(repos, "repo_id", "left").join(names, ["repo_id", "path"], "left")
+            .filter(keep).select(*rows.columns))
 
 
 def with_language(files: DataFrame, keep_others: bool = False) -> DataFrame:
