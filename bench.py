@@ -1,4 +1,4 @@
-"""Time the headline queries: one JSON line, median of three warm runs each."""
+"""Time the headline queries: one JSON line, median of the warm runs (BENCH_RUNS, default 3) each."""
 
 from __future__ import annotations
 
