@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import quality_rules, url_rules
+from codeaudit.llm import quality_rules, simhash, url_rules
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -36,3 +36,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_filter", url_rules.judge_sql())
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+@query("op9_simhash")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

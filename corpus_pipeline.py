@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import quality_rules
+from codeaudit.llm import quality_rules, simhash
 from codeaudit.sources.work import stored
 
 
@@ -13,7 +13,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", quality_stage)]
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return simhash.keep_one(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("near duplicates", simhash_stage)]
 
 #: The stages hash, sort suffixes and tokenise; SQL can't say that.
 ORACLE_SQL = None
