@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -10,3 +12,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` refers to it, also
+    within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def computed(rows: DataFrame) -> DataFrame:
+    """``rows`` with all columns computed here: later filters aren't pushed in front of costly
+    expressions, which would then run once more for the filter."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
