@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import quality_rules, simhash, url_rules
+from codeaudit.llm import packing, quality_rules, simhash, suffix_dedup, url_rules
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -41,3 +41,13 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_packing")
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.tokenised(table(spark, sf_dir, "documents")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import quality_rules, simhash
+from codeaudit.llm import packing, quality_rules, simhash, suffix_dedup
 from codeaudit.sources.work import stored
 
 
@@ -18,7 +18,18 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("near duplicates", simhash_stage)]
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each repeated passage the first copy stays."""
+    return suffix_dedup.without(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and place."""
+    return packing.packed(packing.tokenised(docs))
+
+
+STAGES = [("quality rules", quality_stage), ("near duplicates", simhash_stage),
+          ("repeated passages", suffix_stage), ("packing", packing_stage)]
 
 #: The stages hash, sort suffixes and tokenise; SQL can't say that.
 ORACLE_SQL = None
