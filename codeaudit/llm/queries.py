@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import packing, quality_rules, simhash, suffix_dedup, url_rules
+from codeaudit.llm import lattice_lm, mixing, packing, quality_rules, simhash, suffix_dedup, url_rules
+from codeaudit.sources.work import stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -51,3 +52,14 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_packing")
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.tokenised(table(spark, sf_dir, "documents")))
+
+
+@query("op4_lattice_lm")
+def likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op5_mixing", mixing.plan_sql())
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(mixing.narrow(table(spark, sf_dir, "documents")), "narrow")
+    return mixing.plan(rows, mixing.quotas(rows))

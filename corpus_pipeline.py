@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import packing, quality_rules, simhash, suffix_dedup
+from codeaudit.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from codeaudit.sources.work import stored
 
 
@@ -23,13 +23,19 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffix_dedup.without(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the tempered shares of their sources ask for."""
+    return mixing.mixed(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and place."""
     return packing.packed(packing.tokenised(docs))
 
 
 STAGES = [("quality rules", quality_stage), ("near duplicates", simhash_stage),
-          ("repeated passages", suffix_stage), ("packing", packing_stage)]
+          ("repeated passages", suffix_stage), ("source mixture", mixing_stage),
+          ("best-fit packing", packing_stage)]
 
 #: The stages hash, sort suffixes and tokenise; SQL can't say that.
 ORACLE_SQL = None
