@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import lattice_lm, mixing, packing, quality_rules, simhash, suffix_dedup, url_rules
+from codeaudit.llm import (
+    lattice_lm, licenses, mixing, packing, quality_rules, rp_forest, simhash, suffix_dedup, url_rules,
+)
 from codeaudit.sources.work import stored
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +65,13 @@ def likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(mixing.narrow(table(spark, sf_dir, "documents")), "narrow")
     return mixing.plan(rows, mixing.quotas(rows))
+
+
+@query("op7_rp_forest")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"), every=20)
+
+
+@query("op10_license_scan")
+def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
