@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeaudit.llm import (
-    lattice_lm, licenses, mixing, packing, quality_rules, rp_forest, simhash, suffix_dedup, url_rules,
+    lattice_lm, licenses, mixing, packing, quality_rules, rp_forest, simhash, suffix_dedup,
+    tool_calls, url_rules,
 )
 from codeaudit.sources.work import stored
 
@@ -75,3 +76,9 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_tool_calls", tool_calls.linked_sql())
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked(tool_calls.derived_messages(table(spark, sf_dir, "conversations")),
+                             tool_calls.tool_table(spark))
