@@ -16,8 +16,9 @@ one, about every 85 bytes it changes; such a run of windows with the bytes under
    what copies of whole documents come down to, thousands of them as well as two.
 3. Of the other anchors one representative per distinct context sends its bytes. Blocks of whole
    anchors are suffix-sorted by prefix doubling, and previous or next factors decide each window.
-4. An anchor with over ``HOT`` distinct contexts would make a block too large; for its windows a
-   count by hash of the whole window decides, which combines before the shuffle.
+4. An anchor with over ``HOT`` distinct contexts would make a block too large (over some 6 MB, whose
+   suffix array takes 350 MB); for its windows a count by hash of the whole window decides, which
+   combines before the shuffle.
 
 Defined cases. Null and empty texts, and those below ``WIDTH`` bytes, lose nothing. With
 ``keep="first"`` the order of documents is doc_id (nulls first), then a hash of the text, and rows
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codeaudit.sources.work import stored
 
-WIDTH, GRAM, HOT = 200, 32, 512
+WIDTH, GRAM, HOT = 200, 32, 16_384
 PIECE, BLOCK = 1 << 20, 1 << 20
 WINDOW = WIDTH - GRAM + 1
 _U = np.uint64
@@ -162,11 +163,11 @@ def _ranks(x: np.ndarray) -> dict[int, np.ndarray]:
     must be followed by 2 * 128 bytes of padding."""
     word = np.lib.stride_tricks.sliding_window_view(x, 8)
     word = np.ascontiguousarray(word).view(">u8").ravel().astype(_U)
-    ranks, size = {8: np.unique(word, return_inverse=True)[1].astype(np.int64)}, 8
+    ranks, size = {8: np.unique(word, return_inverse=True)[1].astype(np.int32)}, 8
     while size < 128:
         r = ranks[size]
-        pair = r[:-size] * (len(r) + 1) + r[size:]
-        ranks[2 * size] = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        pair = r[:-size].astype(np.int64) * (len(r) + 1) + r[size:]
+        ranks[2 * size] = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         size *= 2
     return ranks
 
@@ -314,10 +315,11 @@ def repeated_starts(docs: DataFrame, keep: str) -> DataFrame:
     texts = _texts(docs).filter(F.length("text") >= WIDTH // 4)
     found = texts.mapInArrow(_find, CONTEXT)
     place = F.struct("id", "doc", "lo", "hi")
-    seen = (found.groupBy("anchor")
+    # written, so that the join's large side stands on its own shuffle and can be split
+    seen = stored(found.groupBy("anchor")
             .agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"),
                  *([F.min(place).alias("first")] if keep == "first" else []))
-            .filter("n > 1"))
+            .filter("n > 1"), "repeated-anchors")
     hits = stored(found.join(seen.drop("n").withColumnRenamed("anchor", "k"), F.col("anchor") == F.col("k"))
                   .select("id", "doc", "lo", "hi", "anchor", "digest", (F.col("a") == F.col("b"))
                           .alias("same"), *(["first"] if keep == "first" else [])), "hits")
