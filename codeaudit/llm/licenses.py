@@ -42,12 +42,11 @@ _PLACE = [_U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(SHINGLE)]
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the five words at each word of all texts (the largest number where a text ends
     sooner), and where texts end."""
-    clean = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string())),
-                                       "[^a-z0-9]+", " ")
+    clean = pc.replace_substring_regex(pc.ascii_lower(texts), "[^a-z0-9]+", " ")
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean))
     ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
     coded = words.flatten().dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.to_pylist()], _U)
+    known = np.array([xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.to_numpy(zero_copy_only=False)], _U)
     h = known[coded.indices.to_numpy()] if len(known) else known
     n = len(h)
     out = np.full(n, _NONE)

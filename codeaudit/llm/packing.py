@@ -19,6 +19,7 @@ own. Empty tables give empty results. Only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from codeaudit.sources.work import stored
 
 CAPACITY, GROUP, END = 4096, 16_384, 1
 WEIGHTS = (1.0, 0.05, 0.05)
-CACHED = 150_000
+CACHED, SLICE = 300_000, 1024
 
 #: Words of these characters are what the tokenizer makes of them letter by letter: it lower-cases
 #: them, composes nothing, and cuts them by the pattern below (its own, with the classes of these
@@ -45,41 +46,48 @@ CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+")
 
 class WordIds:
     """Token ids of whole texts, word by word. A word's ids don't depend on its neighbours, since
-    the tokenizer never joins across white space; ids of frequent words are kept."""
+    the tokenizer never joins across white space; ids of words met lately are kept, in two
+    generations of ``CACHED`` words, so that frequent ones stay."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        table = {}
-        for i, c in enumerate([*range(33, 127), *range(161, 173), *range(174, 256)]):
-            table[c] = chr(c)
+        self.model = self.tokenizer.model
+        table = {i: i for i in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         rest = (b for b in range(256) if b not in table)
-        table |= {b: chr(256 + k) for k, b in enumerate(rest)}  # the byte-level alphabet
-        self.letters = [table[b] for b in range(256)]
-        self.known: dict[str, np.ndarray] = {}
+        self.letters = table | {b: 256 + k for k, b in enumerate(rest)}  # the byte-level alphabet
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def of_word(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
         if not PLAIN.fullmatch(word) or "<|" in word:
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
-        model, letters, ids = self.tokenizer.model, self.letters, []
-        for part in CUT.findall(word.lower()):
-            ids += [t.id for t in model.tokenize("".join(letters[b] for b in part.encode()))]
-        return np.array(ids, "<u4")
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        word, ids = word.lower(), []
+        for part in (word,) if word.isascii() and word.isalpha() else CUT.findall(word):
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def known(self, word: str) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            if (ids := self.old.get(word)) is None:
+                ids = self.of_word(word)
+            if len(self.young) >= CACHED:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
 
     def of_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another with END after each text, and where texts end."""
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = pc.ascii_split_whitespace(texts)
         ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
         coded = words.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
-        if len(self.known) > CACHED:
-            self.known.clear()
-        ids = []
-        for w in coded.dictionary.to_pylist():
-            if (v := self.known.get(w)) is None:
-                v = self.known[w] = self.of_word(w)
-            ids.append(v)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        ids = list(map(self.known, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         n = sizes[which]
         upto = np.concatenate(([0], np.cumsum(n)))
@@ -97,8 +105,8 @@ def _tokenise(path: str, capacity: int):
             _loaded[path] = WordIds(path)
         for b in batches:
             texts = b.column(1)
-            for at in range(0, len(texts), 256):
-                yield pieces(b.column(0).slice(at, 256), texts.slice(at, 256))
+            for at in range(0, len(texts), SLICE):
+                yield pieces(b.column(0).slice(at, SLICE), texts.slice(at, SLICE))
 
     def pieces(docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         ids, ends = _loaded[path].of_batch(pc.fill_null(texts, ""))
