@@ -178,7 +178,7 @@ def _expect(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.keys))
         for b in batches:
-            words, times = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+            words, times = b.column(0).to_numpy(zero_copy_only=False).tolist(), b.column(1).to_numpy().astype(np.float64)
             for some, matrix in _by_length(words):
                 total += lattice.expected(len(some), lattice.edges(matrix), times[some])
         at = np.flatnonzero(total)
@@ -225,7 +225,7 @@ def _score(lattice: Lattice, end: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, c) with key and log10 probability."""
         for b in batches:
-            words = b.column(0).to_pylist()
+            words = b.column(0).to_numpy(zero_copy_only=False).tolist()
             logp = np.full(len(words), end)
             for some, matrix in _by_length(words):
                 logp[some] = lattice.forward(len(some), lattice.edges(matrix))[-1]
