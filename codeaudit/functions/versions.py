@@ -7,18 +7,25 @@ from pyspark.sql import Column, functions as F
 
 def _numbers(version: Column) -> Column:
     numeric = F.filter(F.split(version, r"[.\-]", -1), lambda s: s.rlike(r"^\d"))
-    return F.transform(numeric, lambda s: F.regexp_extract(s, r"^(\d{1,9})", 1).cast("int"))
+    return F.transform(numeric, lambda s: F.regexp_extract(s, r"^(\d+)", 1).cast("decimal(38,0)"))
 
 
 def version_parts(version: Column) -> Column:
     """'1.2.3a4' -> [1,2,3]; segments without leading digits are dropped; nothing left -> [0]."""
     parts = _numbers(version)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(0)))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(0).cast("decimal(38,0)")))
 
 
 def padded(version: Column) -> Column:
     """The first three version parts, filled up with zeros; arrays of it compare as versions."""
-    return F.slice(F.concat(_numbers(version), F.array(*[F.lit(0)] * 3)), 1, 3)
+    zero = F.lit(0).cast("decimal(38,0)")
+    return F.slice(F.concat(_numbers(version), F.array(*[zero] * 3)), 1, 3)
+
+
+def whole(version: Column) -> Column:
+    """All version parts without zeros at the end: arrays of it compare as versions of any length."""
+    text = F.array_join(_numbers(version).cast("array<string>"), ".")
+    return F.split(F.regexp_replace(text, r"(\.0+)+$", ""), r"\.").cast("array<decimal(38,0)>")
 
 
 def base_version(requested: Column) -> Column:

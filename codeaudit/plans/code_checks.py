@@ -215,23 +215,11 @@ def classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- imports of unknown names -----------------------------------------------------------------
-# A caller's table of further modules; react and typing are too long to be built in.
-MORE_EXPORTS = {
-    "react": ["useState", "useEffect", "useRef", "useMemo", "type ReactNode", "Fragment"],
-    "typing": ["Any", "Dict", "List", "Optional", "Union"],
-}
-
-
 def exports_table(spark: SparkSession) -> DataFrame:
-    more = spark.createDataFrame(
-        [(m, e) for m, names in MORE_EXPORTS.items() for e in names],
-        "module string, export string")
-    return known_exports.known_exports(spark, more)
+    return known_exports.known_exports(spark)
 
 
-_EXPORTS = [(m, e) for m, names in {
-    **{m: t.split() for m, t in known_exports.SMALL_MODULES.items()}, **MORE_EXPORTS}.items()
-    for e in names]
+_EXPORTS = [(m, e) for m, names in known_exports.KNOWN_EXPORTS.items() for e in names]
 _EXPORTS_SQL = ("exports(module, export) AS (VALUES "
                 + ", ".join(f"('{m}', '{e}')" for m, e in _EXPORTS) + ")")
 from codeaudit.plans.common import ORACLE  # noqa: E402

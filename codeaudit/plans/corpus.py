@@ -3,7 +3,8 @@
 The driver tables hold prose and orders, no source code. ``files`` gives each document a path and
 appends a code passage to its whole text; ``deps`` turns each line item into a declared dependency;
 ``registry`` turns each part into a registry record. Each derivation exists twice, as DataFrame
-expressions and as SQL for the comparison engine, both built from the same passages below.
+expressions and as SQL for the comparison engine, both built from the same passages below. Where a
+passage can't take the text in, as in a manifest, the text is a file of its own: all of it is read.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeaudit.sources.files import spread, with_names
+from codeaudit.sources.files import with_names
 
-# (path below the repository root, whether the document's text comes first, passage)
+# (path below the repository root, whether the document's text comes first or is a file of its own,
+# passage)
 # {id} is the document's number.
 PASSAGES: list[tuple[str, bool, str]] = [
     ("src/calc_{id}.py", True, """x = eval(data)
@@ -408,7 +410,11 @@ placed AS (
       THEN text || chr(10) ELSE '' END
       || replace({_sql_list([b for _, _, b in PASSAGES])}[{_P}], '{{id}}',
                  CAST(doc_id AS VARCHAR)) AS content
-  FROM documents),
+  FROM documents
+  UNION ALL
+  SELECT source || '-' || CAST(doc_id // 1000 AS VARCHAR), doc_id,
+    'notes/text_' || CAST(doc_id AS VARCHAR) || '.md', text
+  FROM documents WHERE NOT [{', '.join(str(t).lower() for _, t, _ in PASSAGES)}][{_P}]),
 files AS (
   SELECT repo_id, doc_id, path, content,
     regexp_extract(path, '[^/]*$') AS base,
@@ -465,9 +471,9 @@ advisories AS (
   SELECT {_ecosystem('p_partkey')} AS ecosystem, {_package('p_partkey')} AS package,
     'OSV-' || CAST(p_partkey AS VARCHAR) AS advisory,
     CASE WHEN p_size % 3 <> 0 THEN CAST(p_size % 4 AS VARCHAR) || '.0' END AS introduced,
-    CASE WHEN p_size % 5 <> 0 THEN CAST(p_size % 4 + 1 AS VARCHAR) || '.2.1' END AS fixed,
+    CASE WHEN p_size % 5 <> 0 THEN CAST(p_size % 4 + 1 AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN '.2.1' ELSE '.2.1.4' END END AS fixed,
     ['critical', 'high', 'medium'][p_size % 3 + 1] AS severity
-  FROM part WHERE p_size >= 40)"""
+  FROM part)"""
 
 
 class Corpus:
@@ -482,14 +488,14 @@ class Corpus:
     @cached_property
     def documents(self) -> DataFrame:
         """Documents as files of prose, one repository per source."""
-        return spread(self.table("documents").select("doc_id", "source", "text")).select(
+        return self.table("documents").select("doc_id", "source", "text").select(
             F.col("source").alias("repo_id"),
             F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("path"),
             F.lit(".txt").alias("ext"), F.col("text").alias("content"), "doc_id")
 
     @cached_property
     def files(self) -> DataFrame:
-        return files_of(spread(self.table("documents").select("doc_id", "source", "text")))
+        return files_of(self.table("documents").select("doc_id", "source", "text"))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -514,7 +520,7 @@ class Corpus:
         line, qty = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
         signs = F.array(*[F.lit(s) for s in ("==", ">=", "^", "~=", "")])
         version = F.concat_ws(".", qty % 6, F.col("l_orderkey") % 8, line)
-        return spread(self.table("lineitem")).select(
+        return self.table("lineitem").select(
             F.concat(F.lit("team-"), F.col("l_suppkey")).alias("repo_id"),
             F.when(line == 1, "requirements.txt").otherwise(
                 F.concat(F.lit("svc"), line, F.lit("/requirements.txt"))).alias("manifest"),
@@ -558,12 +564,12 @@ class Corpus:
     def advisories(self) -> DataFrame:
         size = F.col("p_size")
         severities = F.array(*[F.lit(v) for v in ("critical", "high", "medium")])
-        return self.table("part").filter(size >= 40).select(
+        return self.table("part").select(
             ecosystem_name(F.col("p_partkey")).alias("ecosystem"),
             package_name(F.col("p_partkey")).alias("package"),
             F.concat(F.lit("OSV-"), F.col("p_partkey")).alias("id"),
             F.when(size % 3 != 0, F.concat((size % 4).cast("string"), F.lit(".0"))).alias("introduced"),
-            F.when(size % 5 != 0, F.concat((size % 4 + 1).cast("string"), F.lit(".2.1"))).alias("fixed"),
+            F.when(size % 5 != 0, F.concat((size % 4 + 1).cast("string"), F.when(size % 2 == 0, ".2.1").otherwise(".2.1.4"))).alias("fixed"),
             F.element_at(severities, size % 3 + 1).alias("severity"))
 
     @cached_property
@@ -635,18 +641,23 @@ def ecosystem_name(key: Column) -> Column:
 
 
 def files_of(documents: DataFrame) -> DataFrame:
-    """One file per document row; works on batch and streaming input alike."""
+    """One file per document row, and one more for the text where the passage can't hold it (a
+    manifest); works on batch and streaming input alike."""
     doc_id = F.col("doc_id")
     pick = lambda values: F.element_at(
         F.array(*[F.lit(v) for v in values]), (doc_id % len(PASSAGES) + 1).cast("int"))
     numbered = lambda c: F.replace(c, F.lit("{id}"), doc_id.cast("string"))
     place = pick([p for p, _, _ in PASSAGES])
     doubled = (F.instr(place, "/") == 0) & (doc_id % 1000 >= 940)
-    lead = F.when(pick([t for _, t, _ in PASSAGES]),
-                  F.concat(F.col("text"), F.lit("\n"))).otherwise(F.lit(""))
-    rows = documents.select(
-        F.concat(F.col("source"), F.lit("-"), F.expr("doc_id div 1000")).alias("repo_id"),
-        "doc_id", numbered(F.concat(F.when(doubled, F.lit("w{id}/")).otherwise(F.lit("")), place))
+    holds = pick([t for _, t, _ in PASSAGES])
+    lead = F.when(holds, F.concat(F.col("text"), F.lit("\n"))).otherwise(F.lit(""))
+    own = F.struct(
+        numbered(F.concat(F.when(doubled, F.lit("w{id}/")).otherwise(F.lit("")), place))
         .alias("path"), F.concat(lead, numbered(pick([b for _, _, b in PASSAGES])))
         .alias("content"))
+    note = F.struct(F.concat(F.lit("notes/text_"), doc_id, F.lit(".md")).alias("path"),
+                    F.col("text").alias("content"))
+    rows = documents.select(
+        F.concat(F.col("source"), F.lit("-"), F.expr("doc_id div 1000")).alias("repo_id"),
+        "doc_id", F.inline(F.when(holds, F.array(own)).otherwise(F.array(own, note))))
     return with_names(rows)

@@ -86,13 +86,21 @@ def deps_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks against the registry --------------------------------------------------------------
 _POPULAR = ("popular(ecosystem, name, pos) AS (VALUES " + ", ".join(
     f"('{e}', '{n}', {i})" for e, names in dependencies.POPULAR.items()
-    for i, n in enumerate(names.split())) + ")")
+    for i, n in enumerate(names)) + ")")
 
 
 def _parts_sql(v: str) -> str:
     return (rf"list_concat(list_transform(list_filter(string_split_regex({v}, '[.\-]'), "
             r"lambda s: regexp_matches(s, '^\d')), lambda s: CAST(regexp_extract(s, '^\d+') "
-            "AS INTEGER)), [0, 0, 0])[1:3]")
+            "AS DECIMAL(38, 0))), [0, 0, 0])[1:3]")
+
+
+def _range_sql(v: str) -> str:
+    """All parts without zeros at the end, so that lists compare as versions."""
+    return (rf"list_transform(string_split(regexp_replace(array_to_string(list_transform(list_filter("
+            rf"string_split_regex({v}, '[.\-]'), lambda s: regexp_matches(s, '^\d')), "
+            r"lambda s: regexp_extract(s, '^\d+')), '.'), '(\.0+)+$', ''), '.'), "
+            "lambda s: CAST(s AS DECIMAL(38, 0)))")
 
 
 CHECKED_SQL = rf"""uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, package, ecosystem
@@ -186,8 +194,8 @@ def deps_low_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("deps_advisories", with_ctes(DEPS, REGISTRY, ADVISORIES_SQL, _POPULAR, CHECKED_SQL, rf"""
 hit AS (SELECT c.*, advisory, introduced, fixed, a.severity AS sev FROM checked c
   JOIN advisories a USING (ecosystem, package) WHERE base IS NOT NULL
-    AND (introduced IS NULL OR {_parts_sql('base')} >= {_parts_sql('introduced')})
-    AND (fixed IS NULL OR {_parts_sql('base')} < {_parts_sql('fixed')}))""", select=findings_sql(
+    AND (introduced IS NULL OR {_range_sql('base')} >= {_range_sql('introduced')})
+    AND (fixed IS NULL OR {_range_sql('base')} < {_range_sql('fixed')}))""", select=findings_sql(
     "hit", **_DEP, category=_VULN, severity="sev", ord="5", cwe="advisory",
     title="'CVE: ' || package || '==' || base || ' — ' || advisory",
     description="'Version ' || base || ' of ''' || package || ''' is affected by ' || advisory || "

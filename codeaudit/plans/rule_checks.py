@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeaudit.functions.text import explode_lines, mask, matches
+from codeaudit.functions.text import explode_lines, line_array, mask, matches
 from codeaudit.model import as_findings
 from codeaudit.operators import rules, secrets
 from codeaudit.plans.common import (
@@ -84,11 +84,10 @@ FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
     THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents))
 GROUP BY doc_id""")
 def lines_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = explode_lines(Corpus(spark, sf_dir).documents, "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"),
-        F.md5(F.array_join(F.transform(ordered, lambda x: x["line"]), "|")).alias("lines_hash"))
+    lines = line_array(F.col("content"))
+    return Corpus(spark, sf_dir).documents.select(
+        "doc_id", F.size(lines).cast("bigint").alias("n_lines"),
+        F.md5(F.array_join(lines, "|")).alias("lines_hash"))
 
 
 _CALL = r"\b(\w+)\(\s*[\"']"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
-from functools import partial
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,31 +50,57 @@ def read_repositories(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root/<repo_id>/...`` as rows of whole text.
 
     Bytes that are no UTF-8 are dropped, blank files are skipped. Listing and reading are Spark's
-    binaryFile source, one task per group of files. That source leaves out files whose name begins
-    with a dot; the .env files at the root of a repository, which checks need, are read in tasks
-    of their own where the root is a mounted folder.
+    binaryFile source, one task per group of files, on any file system Spark reads. That source
+    never shows names that begin with a dot or an underscore (``.env``, ``__init__.py``,
+    ``_app.tsx``); use ``read_archives`` where those matter.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
            .select("path", "content"))
-    folder = root.rstrip("/").removeprefix("file:")
-    inner = F.substring_index(F.col("path"), folder + "/", -1)
-    rows = raw.select(F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
-                      F.regexp_replace(inner, r"^[^/]*/", "").alias("path"), "content")
-    if "://" not in folder:
-        repos = rows.select("repo_id").distinct()
-        rows = rows.unionByName(repos.mapInPandas(
-            partial(_env_files, folder), "repo_id string, path string, content binary"))
+    inner = F.substring_index(F.col("path"), root.rstrip("/").removeprefix("file:") + "/", -1)
+    return _texts(raw.select(F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
+                             F.regexp_replace(inner, r"^[^/]*/", "").alias("path"), "content"))
+
+
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """Files of repositories packed as ``root/**/<repo_id>.tar``, ``.tar.gz``, ``.tgz`` or ``.zip``,
+    with all their names, hidden ones too, on any file system Spark reads.
+
+    One archive is unpacked by one task, member by member; a leading ``./`` is dropped. An archive
+    that can't be read gives no rows.
+    """
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+           .select("path", "content").filter(F.col("path").rlike(ARCHIVE)))
+    repo = F.regexp_replace(F.element_at(F.split("path", "/"), -1), ARCHIVE, "")
+    return _texts(raw.select(repo.alias("repo_id"), "path", "content").mapInPandas(
+        _unpacked, "repo_id string, path string, content binary"))
+
+
+ARCHIVE = r"(?i)\.(tar|tar\.gz|tgz|zip)$"
+
+
+def _texts(rows: DataFrame) -> DataFrame:
     text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    files = rows.withColumn("content", text)
-    return with_names(files.filter(F.col("content").rlike(r"\S")))
+    return with_names(rows.withColumn("content", text).filter(F.col("content").rlike(r"\S")))
 
 
-def _env_files(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for repos in batches:
-        for repo in repos["repo_id"]:
-            found = [p for p in sorted(Path(folder, repo).glob(".env*")) if p.is_file()]
-            yield pd.DataFrame({"repo_id": [repo] * len(found), "path": [p.name for p in found],
-                                "content": [p.read_bytes() for p in found]}, dtype=object)
+def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    if name.lower().endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            yield from ((m.filename, z.read(m)) for m in z.infolist() if not m.is_dir())
+    else:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for archives in batches:
+        for a in archives.itertuples():
+            try:
+                for name, data in _members(a.path, a.content):
+                    yield pd.DataFrame({"repo_id": [a.repo_id], "path": [name.removeprefix("./")],
+                                        "content": [data]}, dtype=object)
+            except (tarfile.TarError, zipfile.BadZipFile, EOFError, zlib.error):
+                continue
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -136,12 +164,3 @@ def inventory(files: DataFrame, tracked: DataFrame | None = None,
         F.array_sort(F.collect_set(lookup(REPORT_LANGUAGES, F.col("ext")))).alias("languages"),
         F.count_if(F.col("ext").isin(SCANNABLE)).alias("files_scanned"))
 
-
-def spread(files: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """A small table with few row groups over all cores, as checks are bound by computing. The
-    size is Spark's own estimate; a large table has row groups enough and stays where it is read,
-    so its contents are never shuffled."""
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > max_bytes:
-        return files
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
+def _own_dir() -> str:
+    """One temporary folder per local session, removed when the program ends."""
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="codeaudit-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``. Only a local session may do without the
     setting and gets a temporary folder; on a cluster that would be lost with its machine."""
@@ -15,7 +28,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="codeaudit-")
+        base = _own_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

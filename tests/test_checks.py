@@ -140,13 +140,19 @@ def test_structure(files_table):
 
 def test_unknown_exports(spark, files_table):
     files = files_table({"a.py": "from flask import jsonify, make_magic\nfrom who import x\n"
-                                 "from json import *", "b.ts": "import { useMagic } from 'react'"})
+                                 "from json import *\nfrom typing import Callable, Anything",
+                         "b.ts": "import { useMagic, useCallback } from 'react'\n"
+                                 "import { Inter, Comic } from 'next/font/google'"})
     small = known_exports.known_exports(spark)
     assert {f.title for f in known_exports.hallucinated_imports(files, small).collect()} == {
-        "Hallucinated Import: make_magic from 'flask'"}
+        "Hallucinated Import: make_magic from 'flask'",
+        "Hallucinated Import: Anything from 'typing'", "Hallucinated Import: useMagic from 'react'",
+        "Hallucinated Import: Comic from 'next/font/google'"}
+    counts = {m: len(n) for m, n in known_exports.KNOWN_EXPORTS.items()}
+    assert len(counts) == 28 and counts["flask"] == 22 and counts["json"] == 7
     more = spark.createDataFrame([("react", "useState")], "module string, export string")
     got = known_exports.hallucinated_imports(files, known_exports.known_exports(spark, more))
-    assert {f.line for f in got.collect() if f.file == "b.ts"} == {1}
+    assert {f.line for f in got.collect() if f.file == "b.ts"} == {1, 2}
 
 
 def test_cost(spark, files_table):
@@ -188,8 +194,35 @@ def test_read_repositories(spark, tmp_path):
     (tmp_path / "two" / "b.txt").write_text("b")
     got = {(r.repo_id, r.path, r.ext, r.base, r.content)
            for r in S.read_repositories(spark, str(tmp_path)).collect()}
-    assert got == {("one", "src/a.py", ".py", "a.py", "x = 1\n"), ("two", ".env", "", ".env", "A=1"),
-                   ("two", "b.txt", ".txt", "b.txt", "b")}
+    assert got == {("one", "src/a.py", ".py", "a.py", "x = 1\n"), ("two", "b.txt", ".txt", "b.txt", "b")}
+
+
+def test_read_archives_with_hidden_names(spark, tmp_path):
+    import tarfile
+    import zipfile
+    names = ["pkg/__init__.py", "pages/_app.tsx", "__tests__/x.js", ".github/ci.yml", "sub/.env", ".env.local"]
+    for n in names:
+        (tmp_path / "src" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / n).write_text(n)
+    (tmp_path / "packed").mkdir()
+    with tarfile.open(tmp_path / "packed" / "one.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "src", ".")
+    with zipfile.ZipFile(tmp_path / "packed" / "two.zip", "w") as z:
+        for n in names:
+            z.write(tmp_path / "src" / n, n)
+    (tmp_path / "packed" / "broken.tar").write_bytes(b"no archive")
+    got = {(r.repo_id, r.path, r.content) for r in S.read_archives(spark, str(tmp_path / "packed")).collect()}
+    assert got == {(r, n, n) for r in ("one", "two") for n in names}
+
+
+def test_every_text_is_in_the_files(spark):
+    from codeaudit.plans.corpus import Corpus
+    corpus = Corpus(spark, "/root/testdata/sf0.001")
+    texts = corpus.table("documents").selectExpr("sum(length(text))").first()[0]
+    assert corpus.files.selectExpr("sum(length(content))").first()[0] >= texts
+    missing = corpus.table("documents").select("doc_id", "text").join(corpus.files, "doc_id").groupBy(
+        "doc_id").agg(F.max(F.contains("content", "text")).alias("ok")).filter("not ok")
+    assert missing.count() == 0
 
 
 def test_token_budget(spark):

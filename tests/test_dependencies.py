@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from codeaudit.functions.versions import base_version, version_parts, years_since
+from codeaudit.functions.versions import base_version, version_parts, whole, years_since
 from codeaudit.operators import dependencies as D, manifests as M
 from codeaudit.sources.registry import registry
 
@@ -83,7 +83,8 @@ def test_routing(spark):
 
 
 @pytest.mark.parametrize("text,parts", [("1.2.3", [1, 2, 3]), ("2.0", [2, 0]), ("3", [3]),
-                                        ("1.2.3a4", [1, 2, 3]), ("", [0]), ("1-2.x", [1, 2])])
+                                        ("1.2.3a4", [1, 2, 3]), ("", [0]), ("1-2.x", [1, 2]),
+                                        ("202401011234.1", [202401011234, 1])])
 def test_version_parts(spark, text, parts):
     assert spark.range(1).select(version_parts(F.lit(text))).first()[0] == parts
 
@@ -198,3 +199,10 @@ def test_findings_of_one_join(spark):
         ("Suspicious Low-Download Package: serde", "high"), ("CVE: serde==1.0 — OSV-1", "high")}
     plan = D.dependency_findings(deps, answers, as_of())._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("Join ") == 1
+
+
+def test_versions_of_any_length_compare(spark):
+    def less(a, b):
+        return spark.range(1).select(whole(F.lit(a)) < whole(F.lit(b))).first()[0]
+    assert less("1.2.3.4", "1.2.3.5") and less("202401011234.1", "202401011235.1") and less("1.2", "1.2.0.1")
+    assert not less("1.2", "1.2.0") and not less("1.2.0", "1.2") and not less("1.10", "1.9")
