@@ -216,6 +216,21 @@ def whole_word_weight(known: DataFrame, tokens: int, steps: int = 4) -> float:
     return weight if tokens > 1 else 1e-6
 
 
+def frequent_from(words: DataFrame, most: int | None = None) -> int:
+    """The smallest count, by quarters of powers of two, that at most ``most`` words reach."""
+    most = FREQUENT if most is None else most
+    step = F.floor(4 * F.log2("c")).cast("int")
+    rows = words.filter("c > 0").groupBy(step.alias("step")).agg(
+        F.count("*").alias("n"), F.min("c").alias("c")).collect()  # 4 rows per power of two
+    held, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r.step):
+        held += r.n
+        if held > most:
+            break
+        least = r.c
+    return least
+
+
 def word_key(word: bytes) -> int:
     h = xxhash.xxh64_intdigest(word, 0)
     return h - (1 << 64) if h >> 63 else h
@@ -286,7 +301,7 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     score = F.when(F.col("c") == 0, pieces).otherwise(
         most + F.log10(F.pow(ten, whole - most) + F.pow(ten, pieces - most)))
     known = known.withColumn("base", base).withColumn("score", score)
-    top = known.orderBy(F.desc("c"), "word").limit(FREQUENT)
+    top = known.filter(F.col("c") >= frequent_from(known))
     frequent = {bytes(r.word): (r.base, r.score, r.lattice, int(r.c > 0)) for r in top.collect()}
     rows = stored(told.mapInArrow(
         _look_up(frequent), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, "
