@@ -62,7 +62,8 @@ def apply_verdicts(findings: DataFrame, replies: DataFrame) -> DataFrame:
     threshold is dropped; otherwise confidence, description and reference are the reviewer's.
     """
     verdict = F.try_parse_json(json_block(F.col("body"), "{", "}"))
-    read = replies.select("id", verdict.alias("v")).filter(
+    first = replies.groupBy("id").agg(F.min("body").alias("body"))  # one reply decides
+    read = first.select("id", verdict.alias("v")).filter(
         F.schema_of_variant("v").startswith("OBJECT"))
     rows = findings.join(read, "id", "left")
     v = F.col("v")

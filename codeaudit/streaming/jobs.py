@@ -13,16 +13,20 @@ from codeaudit.model import SEVERITIES, severity_rank
 from codeaudit.operators import scoring
 
 
+IDENTITY = ["repo_id", "id", "analyzer", "ord", "file", "line", "title", "evidence"]
+
+
 def scan(files: DataFrame, checks: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Findings of arriving files: the batch checks unchanged, as each needs one file's row."""
     return checks(files)
 
 
 def first_seen(findings: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Findings without repeats across pushes: ``findings`` carry ``seen_at`` and a content id.
-    State is kept for the watermark delay."""
+    """Findings without repeats across pushes: ``findings`` carry ``seen_at``. The displayed id is
+    short, so what makes a finding (its check, place, title, evidence) is compared itself. State is
+    kept for the watermark delay."""
     return (findings.withWatermark("seen_at", delay)
-            .dropDuplicatesWithinWatermark(["repo_id", "id"]))
+            .dropDuplicatesWithinWatermark([c for c in IDENTITY if c in findings.columns]))
 
 
 def windowed_gate(findings: DataFrame, min_severity: str, window: str, slide: str | None = None,
