@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import CLASHES, SF
 
@@ -51,13 +52,42 @@ def test_made_texts(docs_of, monkeypatch, keep, hot):
     assert got == brute([(i, (t or "").encode()) for i, t in enumerate(rows)], keep)
 
 
-def test_long_text_in_pieces(docs_of, monkeypatch):
-    monkeypatch.setattr(q, "PIECE", 2000)
+def test_pieces_give_the_same_window_starts(monkeypatch):
+    """Documents that are cut into pieces own every window start once, under the same anchors."""
     rng = random.Random(1)
-    a = "".join(rng.choice("abcd ") for _ in range(9000))
-    rows = [a, "zz" + a[1000:7500], a[:500]]
-    got = sorted(tuple(r) for r in q.digests(docs_of(rows), "none").collect())
-    assert got == brute([(i, t.encode()) for i, t in enumerate(rows)], "none")
+    texts = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (9000, 150, 3000, 200, 0, 1999)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(texts)],
+                                       ["id", "doc", "text"])
+
+    def owners():
+        out = {}
+        for b in q._find(iter([batch])):
+            for i, lo, hi, anchor in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                for start in range(lo, hi + 1):
+                    assert (i, start) not in out
+                    out[i, start] = anchor
+        return out
+    whole = owners()
+    assert set(whole) == {(i, k) for i, t in enumerate(texts) for k in range(len(t.encode()) - 199)}
+    for size in (700, 2000):
+        monkeypatch.setattr(q, "PIECE", size)
+        assert owners() == whole
+
+
+def test_factors_against_all_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.choice(np.frombuffer(b"ab", np.uint8), 1500)
+    x[900:1250] = x[100:450]
+    x[1290:1500] = x[150:360]
+    padded = np.concatenate((x, np.zeros(512, np.uint8)))
+    starts = np.arange(len(x) - 199)
+    got = q.previous_factors(q._ranks(padded), starts, starts) >= 200
+    seen, want = set(), []
+    for s in starts:
+        w = x[s:s + 200].tobytes()
+        want.append(w in seen)
+        seen.add(w)
+    assert got.tolist() == want and any(want)
 
 
 def test_documents(spark):
