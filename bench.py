@@ -29,6 +29,9 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("codeaudit-bench")
              .config("spark.sql.shuffle.partitions", cpus)
+             # small inputs over all cores, as a cluster's files would be
+             .config("spark.sql.files.maxPartitionBytes", "2m")
+             .config("spark.sql.files.openCostInBytes", "64k")
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
