@@ -18,7 +18,7 @@ Defined cases. A null source is a source of its own. Null and empty texts have n
 once per begun epoch, where they stand. Repeated rows come together: as one entry with their tokens
 added up. A source without tokens, and every source if there are none at all, has an empty quota and
 gives nothing. Empty tables give empty results. Only doc_id, text and source are read; ``mixed``
-returns all columns of its input (it refuses columns named ``_key``, ``_source`` or ``_copies``).
+returns all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,13 +151,14 @@ def mixed(docs: DataFrame, **goal) -> DataFrame:
             .select(F.col("source").alias("_s2"), "_last"))
     ends = stored(whole.join(last, F.col("_s").eqNullSafe(F.col("_s2")), "left")
                   .select("_s", "_full", "_last"), "ends")
-    told = (docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d")
+    told = (docs.select(own, "doc_id", "source",
+                        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
             .join(ends, F.col("source").eqNullSafe(F.col("_s"))))
     more = (_key(F.col("_full")) <= F.col("_last")).cast("int")
     copies = F.col("_full") + F.coalesce(more, F.lit(0))
     return (told.withColumn("_n", copies).filter("_n > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select("_d", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_d.*"))
 
 
 def plan_sql() -> str:

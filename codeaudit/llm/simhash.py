@@ -13,8 +13,7 @@ task emits a spanning forest; the components of these links are the near-duplica
 Defined cases. Null and empty texts have fingerprint 0 and are linked like any other. Fewer than
 three words make one shingle. A null id never names a class unless all its ids are null. Repeated
 rows fall into one class. Empty tables give empty results. Only ``doc_id`` and ``text`` are read;
-``keep_one`` returns all columns of its input (except that it refuses columns named ``_fp`` and
-``_th``).
+``keep_one`` returns all columns of its input, which may have any names but ``_th`` and ``_c``.
 """
 
 from __future__ import annotations
