@@ -39,8 +39,9 @@ CACHED, SLICE = 300_000, 1024
 
 #: Words of these characters are what the tokenizer makes of them letter by letter: it lower-cases
 #: them, composes nothing, and cuts them by the pattern below (its own, with the classes of these
-#: characters written out). All others go through the tokenizer as a whole.
-PLAIN = re.compile("[\x21-\x7eµ-¸»-ſ]*")
+#: characters written out). All others go through the tokenizer as a whole, fractions among them:
+#: ``\w`` holds them, but the tokenizer cuts each off as a number.
+PLAIN = re.compile("[\x21-\x7eµ-¸»¿-ſ]*")
 CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+")
 
 

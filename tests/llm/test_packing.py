@@ -14,6 +14,16 @@ ODD = ["don't we'll I'M x's", "a<|endoftext|>b <|startoftext|>", "İstanbul ΑΣ
        "a_b__c '' 's'd 12ab34 _", "日本語 テスト \x1c \x1d a\x00b", "µ· ¸¼ ¾¿ ¡ Ŀ ŉ ſ", None, "", " \n", "word " * 9000, "x" * 3000]
 
 
+def test_words_equal_the_tokenizer():
+    """Every plain character and those next to them, beside letters, digits and itself."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), q.WordIds(path)
+    for c in map(chr, [*range(0x21, 0x7f), *range(0xa1, 0x180)]):
+        for word in (c, f"a{c}b", f"2{c}in", f"a{c}2", c + c, f"a{c}{c}", f"{c}{c}é", f"½{c}¼", f"{c}_'s"):
+            want = tokenizer.encode(word, add_special_tokens=False).ids
+            assert np.frombuffer(words.of_word(word), "<u4").tolist() == want, word
+
+
 def check(rows, texts, capacity=4096):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
