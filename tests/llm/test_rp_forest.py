@@ -65,6 +65,24 @@ def test_edges(spark, monkeypatch, leaf_rows):
     assert got == brute(good, 20)
 
 
+def test_look_grows_until_the_recall_is_met(spark):
+    """Vectors without structure and a look far too small for them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.float32(rng.standard_normal((3000, 32))))]
+    got, want = found(q.neighbours(frame(spark, rows), 20, leaf=32, look=200).collect()), brute(rows, 20)
+    hits = sum(len({i for i, _ in g} & {i for i, _ in want[k]}) for k, g in got.items())
+    assert set(got) == set(want) and hits >= 0.9 * 20 * len(want)
+
+
+def test_equal_queries_and_cut_leaves(spark, monkeypatch):
+    """Leaves of few queries each, and a vector with many ids that ask."""
+    monkeypatch.setattr(q, "LEAF_QUERIES", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.float32(rng.standard_normal((90, 4))))]
+    rows += [(i, [0.5, 0.5, 0.25, 0.0]) for i in range(100, 400)]
+    assert found(q.neighbours(frame(spark, rows), 5, leaf=8).collect()) == brute(rows, 5)
+
+
 def test_few_and_none(spark):
     two = frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 2.0])])
     assert found(q.neighbours(two, 20).collect()) == {0: [(1, 0.0)]}
