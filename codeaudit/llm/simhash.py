@@ -169,13 +169,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp): the class
+    itself, named by one of its fingerprints, and its smallest id."""
     fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fps")
     roots = components(links(fps)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = fps.join(roots, "fp", "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,9 +190,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each class the document with the smallest id (then the smallest hash of its text)."""
     told = docs.withColumn("_th", F.xxhash64("text"))
     prints = stored(told.select("doc_id", "_th", fingerprint_of("text").alias("fp")), "prints")
-    firsts = (prints.join(classes(prints).select("fp", F.col("component_id").alias("_c")), "fp")
-              .filter(F.col("doc_id").eqNullSafe(F.col("_c")))
-              .groupBy("_c").agg(F.min("_th").alias("_t")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th"))
+    firsts = (prints.join(classes(prints).select("fp", "root"), "fp").groupBy("root")
+              .agg(first.alias("first")).select(F.col("first.doc_id").alias("_c"),
+                                                F.col("first._th").alias("_t")))
     return (told.join(firsts, F.col("doc_id").eqNullSafe(F.col("_c"))
                       & (F.col("_th") == F.col("_t")), "left_semi")
             .dropDuplicates(["doc_id", "_th"]).drop("_th"))

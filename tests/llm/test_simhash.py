@@ -60,6 +60,15 @@ def test_edges(spark, docs_of):
     assert q.near_duplicates(docs.limit(0)).count() == 0 and q.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_classes_of_one_id_apart(spark, docs_of):
+    """Different texts without an id, and one id with two texts: none goes."""
+    rows = [(None, "first text without any id"), (None, "something else entirely, no id either"),
+            (None, "first text without any id"), (7, "one id has this text here"),
+            (7, "and also quite another one"), (8, "One id has this text here")]
+    kept = sorted((r.doc_id or -1, r.text) for r in q.keep_one(docs_of(rows)).collect())
+    assert kept == sorted((d or -1, t) for d, t in {rows[0], rows[1], rows[3], rows[4]})
+
+
 @pytest.mark.parametrize("tile", [4, 2048])
 def test_tiles_and_hot_keys(spark, monkeypatch, tile):
     """Many fingerprints in a small ball and some far ones: the same classes however they are cut."""
