@@ -126,6 +126,13 @@ def finding_id(repo_id: Column, analyzer: Column, category: Column, title: Colum
     return F.concat(F.lit("VA-"), F.upper(F.substring(F.sha2(key, 256), 1, 8)))
 
 
+def finding_key() -> Column:
+    """Full hash of all that tells findings apart, for joins; the short id is for display, and at
+    millions of findings different ones share it."""
+    told = ("repo_id", "analyzer", "ord", "category", "title", "file", "line", "description", "evidence")
+    return F.sha2(F.to_json(F.struct(*told)), 256)
+
+
 DEFAULTS: dict[str, object] = {
     "ord": 0, "file": None, "line": None, "ai_prompt": "", "evidence": "", "cwe": None,
     "compliance_ref": None, "confidence": 1.0,

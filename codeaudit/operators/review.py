@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeaudit.functions.text import json_block, location
-from codeaudit.model import as_findings, emission_order, lookup, severity_rank
+from codeaudit.model import as_findings, emission_order, finding_key, lookup, severity_rank
 from codeaudit.operators.rules import REMEDIATION
 
 # --- fixed values -----------------------------------------------------------
@@ -56,16 +56,22 @@ def render_prompts(segments: DataFrame, template: str) -> DataFrame:
 
 
 def apply_verdicts(findings: DataFrame, replies: DataFrame) -> DataFrame:
-    """Findings after review: ``replies(id, body)``.
+    """Findings after review: ``replies(key, body)``, keyed by ``finding_key``, or ``replies(id,
+    body)``; an id that different findings share decides none of them.
 
-    Without a readable verdict a finding stays as it is; one that is judged harmless or below the
+    Of several readable replies to one finding the smallest text decides. Without a readable verdict a finding stays as it is; one that is judged harmless or below the
     threshold is dropped; otherwise confidence, description and reference are the reviewer's.
     """
     verdict = F.try_parse_json(json_block(F.col("body"), "{", "}"))
-    first = replies.groupBy("id").agg(F.min("body").alias("body"))  # one reply decides
-    read = first.select("id", verdict.alias("v")).filter(
-        F.schema_of_variant("v").startswith("OBJECT"))
-    rows = findings.join(read, "id", "left")
+    keyed = findings.withColumn("_key", finding_key())
+    if "key" in replies.columns:
+        replies = replies.withColumnRenamed("key", "_key")
+    else:
+        ids = keyed.groupBy("id").agg(F.min("_key").alias("_key"), F.max("_key").alias("other"))
+        replies = replies.join(ids.filter(F.col("_key") == F.col("other")), "id")
+    readable = replies.filter(F.schema_of_variant(verdict).startswith("OBJECT"))
+    first = readable.groupBy("_key").agg(F.min("body").alias("body"))  # one reply decides
+    rows = keyed.join(first.select("_key", verdict.alias("v")), "_key", "left")
     v = F.col("v")
     confidence = F.coalesce(_get(v, "$.confidence", "double"), F.lit(0.5))
     vulnerable = F.coalesce(_get(v, "$.is_vulnerable", "boolean"), F.lit(False))

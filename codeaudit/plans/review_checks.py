@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codeaudit.model import finding_key
 from codeaudit.operators import profile, review, rules
 from codeaudit.plans.common import FILES, ORACLE, lines_cte, query, shown, with_ctes
 from codeaudit.plans.corpus import Corpus, sql_text
@@ -216,7 +217,7 @@ def review_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 4, '{"is_vulnerable": true, "confidence": 0.30, "owasp_ref": null}')
             .when(k == 5, '{"is_vulnerable": false, "confidence": 0.9}')
             .when(k == 6, 'text {"is_vulnerable": true} text').when(k == 7, '{"is_vulnerable": tr}'))
-    replies = found.select("id", body.alias("body"))
+    replies = found.select(finding_key().alias("key"), body.alias("body"))
     return review.apply_verdicts(found, replies).select(
         "repo_id", "file", F.col("line").cast("bigint").alias("line"), "title", "severity", "id",
         "cwe", "confidence", "description")
