@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeaudit.llm import (
-    lattice_lm, licenses, mixing, packing, quality_rules, rp_forest, simhash, suffix_dedup,
-    tool_calls, url_rules,
+    lattice_lm, licenses, line_dedup, mixing, packing, quality_rules, repair, rp_forest, simhash,
+    suffix_dedup, tool_calls, url_rules, word_runs,
 )
 from codeaudit.sources.work import stored
 
@@ -82,3 +82,19 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.linked(tool_calls.derived_messages(table(spark, sf_dir, "conversations")),
                              tool_calls.tool_table(spark))
+
+
+@query("op11_repair", repair.repair_sql())
+def conversations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digests(*repair.repaired(repair.damaged(rows)), rows)
+
+
+@query("op12_word_runs", word_runs.runs_sql())
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(word_runs.collapsed(table(spark, sf_dir, "documents"), word_runs.damaged()))
+
+
+@query("op13_line_dedup", line_dedup.lines_sql())
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.deduplicated(table(spark, sf_dir, "documents")))

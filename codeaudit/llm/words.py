@@ -24,3 +24,11 @@ def computed(rows: DataFrame) -> DataFrame:
     """``rows`` with all columns computed here: later filters aren't pushed in front of costly
     expressions, which would then run once more for the filter."""
     return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text in SQL, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), [CAST(b AS BIGINT) for b in range(8)]),
+      lambda v, bit: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
