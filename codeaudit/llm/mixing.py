@@ -1,10 +1,12 @@
 """Mixing sources to target weights: temperature, budget, block permutations.
 
 With token shares p of the sources, the weights are p**a, normalised. The exponent a in [0, 1] is
-the largest on a grid of 2**-20 at which the weights meet the goal: an entropy of at least
-``entropy`` times the largest possible, or, with ``repetitions``, one that needs no source more
-often than that (then the smallest such exponent). It is bisected, ``WAYS`` candidates per step, in
-an aggregation over the sources. Exponent 1 leaves the shares as they are, 0 makes them equal.
+the largest on a grid of 2**-20 at which the weights have an entropy of at least ``entropy`` times the
+largest possible, unless that takes some source more often than ``repetitions`` times: then it is the
+smallest that doesn't, so that a tiny source bounds how far the weights are tempered instead of being
+copied without end. Either goal may be None. Both are bisected, ``WAYS`` candidates per step, in an
+aggregation over the sources. Exponent 1 leaves the shares as they are, 0 makes them equal. (A budget
+of more than ``repetitions`` times all tokens can't keep the limit; the shares then stay as they are.)
 
 The budget of tokens (default: as many as there are) times its weight is a source's quota. Each
 source is a stream of epochs; an epoch is a permutation of its documents by a hash of id, text and
@@ -17,7 +19,7 @@ then over the pieces' totals, so no task sorts a whole source.
 Defined cases. A null source is a source of its own. Null and empty texts have no tokens; they come
 once per begun epoch, where they stand. Repeated rows come together: as one entry with their tokens
 added up. A source without tokens, and every source if there are none at all, has an empty quota and
-gives nothing. Empty tables give empty results. Only doc_id, text and source are read; ``mixed``
+gives nothing. A source of very few tokens comes ``repetitions`` times at most, and once more in part. Empty tables give empty results. Only doc_id, text and source are read; ``mixed``
 returns all columns of its input, whatever their names.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codeaudit.llm.words import words
 from codeaudit.sources.work import stored
 
-ENTROPY, BLOCK_TOKENS, PIECE_ROWS = 0.95, 1_000_000, 4096
+ENTROPY, REPETITIONS, BLOCK_TOKENS, PIECE_ROWS = 0.95, 4.0, 1_000_000, 4096
 STEPS, WAYS = 4, 32  # 32 candidates in each of 4 steps: 20 bits
 GRID = WAYS ** STEPS
 
@@ -50,47 +52,46 @@ def narrow(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "source", "text_md5", "n_tokens").agg(F.count("*").alias("times")))
 
 
-def exponent(shares: DataFrame, entropy: float = ENTROPY, repetitions: float | None = None,
+def exponent(shares: DataFrame, entropy: float | None = ENTROPY, repetitions: float | None = REPETITIONS,
              budget: Column | None = None) -> float:
     """Bisects the exponent over ``shares`` (source, tokens, share > 0)."""
-    low, high = 0, GRID  # the goal holds at low (entropy); at high only if nothing is to be done
     n = shares.count()
     if n < 2:
         return 1.0
 
-    def meets(candidates: list[int]) -> dict[int, bool]:
+    def measured(candidates: list[int]) -> list[tuple[int, float, float]]:
+        """(candidate, entropy, how often the most repeated source comes)."""
         a = F.explode(F.array([F.lit(c).cast("bigint") for c in candidates])).alias("c")
         power = F.pow(F.col("share"), F.col("c") / GRID)
         rows = (shares.select("share", "tokens", a).withColumn("p", power)
                 .groupBy("c").agg(F.sum("p").alias("z"), F.sum(F.col("p") * F.log("share")).alias("l"),
                                   F.sum("tokens").alias("all"),
                                   F.max(F.col("p") / F.col("tokens")).alias("most"))
-                .select("c", (F.log("z") - F.col("c") / GRID * F.col("l") / F.col("z")).alias("h"),
-                        (F.col("most") / F.col("z") * (budget if budget is not None else F.col("all")))
-                        .alias("times")).collect())  # a row per candidate
-        if repetitions is not None:
-            return {r.c: r.times <= repetitions for r in rows}
-        return {r.c: r.h >= entropy * math.log(n) for r in rows}
-
-    rising = repetitions is not None  # a larger exponent repeats less, but has less entropy
-    if meets([high])[high]:
-        if not rising:
-            return 1.0
-    elif rising:
-        return 1.0
-    while high - low > 1:
-        step = max(1, (high - low) // WAYS)
-        tried = meets(list(range(low + step, high, step)))
-        for c in sorted(tried):
-            if tried[c] != rising:
-                low = c
-            else:
-                high = c
-                break
-    return (high if rising else low) / GRID
-
-
-def quotas(rows: DataFrame, entropy: float = ENTROPY, repetitions: float | None = None,
+                .select("c", (F.log("z") - F.col("c") / GRID * F.col("l") / F.col("z")),
+                        (F.col("most") / F.col("z") * (budget if budget is not None else F.col("all")))))
+        return sorted(map(tuple, rows.collect()))  # a row per candidate
+
+    def last(holds) -> int:
+        """The last candidate that ``holds``, which then fails for all larger ones; 0 if none does."""
+        low, high = 0, GRID
+        if holds(measured([high])[0]):
+            return high
+        while high - low > 1:
+            step = max(1, (high - low) // WAYS)
+            for row in measured(list(range(low + step, high, step))):
+                if not holds(row):
+                    high = row[0]
+                    break
+                low = row[0]
+        return low
+
+    a = GRID if entropy is None else last(lambda r: r[1] >= entropy * math.log(n))
+    if repetitions is not None and a < GRID and measured([a])[0][2] > repetitions:
+        a = min(GRID, last(lambda r: r[2] > repetitions) + 1)
+    return a / GRID
+
+
+def quotas(rows: DataFrame, entropy: float | None = ENTROPY, repetitions: float | None = REPETITIONS,
            budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(source, tokens, rows, weight, quota, blocks) of each source with tokens."""
     by = stored(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"),
@@ -107,14 +108,14 @@ def quotas(rows: DataFrame, entropy: float = ENTROPY, repetitions: float | None
         .withColumn("blocks", F.lit(max(1, -(-budget // block_tokens))).cast("bigint")), "quotas")
 
 
-def plan(rows: DataFrame, goal: DataFrame) -> DataFrame:
+def plan(rows: DataFrame, goal: DataFrame, begun: bool = False) -> DataFrame:
     """Entries of the mixture: ``narrow`` rows with epoch, start (in the source's stream), block and
-    key."""
+    key. ``begun``: only those of the last epoch."""
     same = F.col("source").eqNullSafe(F.col("s"))
     goal = goal.select(F.col("source").alias("s"), "tokens", "rows", "quota", "blocks", "weight")
-    epochs = F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("tokens")).cast("int") - 1)
+    last = F.expr("(quota - 1) div tokens").cast("int")
     spread = (rows.join(goal.filter("quota > 0"), same)
-              .select("*", F.explode(epochs).alias("epoch"))
+              .select("*", F.explode(F.array(last) if begun else F.sequence(F.lit(0), last)).alias("epoch"))
               .withColumn("key", _key(F.col("epoch")))
               .withColumn("digits", F.greatest(F.lit(0), F.ceil(
                   F.log(F.col("rows") / PIECE_ROWS) / math.log(16.0))).cast("int"))
@@ -139,15 +140,14 @@ def plan(rows: DataFrame, goal: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **goal) -> DataFrame:
     """The rows of ``docs`` in the mixture, as often as they are in it. What the plan decides about
-    a source's documents is two values, the number of whole epochs and the last key of the one after
-    them, so texts aren't shuffled."""
+    a source's documents is two values, the number of epochs before the last and the last key of that, so
+    texts aren't shuffled."""
     rows = stored(narrow(docs), "narrow")
     goals = quotas(rows, **goal)
-    chosen = plan(rows, goals)
-    whole = goals.select(F.col("source").alias("_s"), F.expr("quota div tokens").cast("int").alias("_full"))
-    last = (chosen.join(whole, F.col("source").eqNullSafe(F.col("_s")))
-            .filter(F.col("epoch") == F.col("_full"))
-            .groupBy("source").agg(F.max("key").alias("_last"))
+    chosen = plan(rows, goals, begun=True)
+    whole = goals.filter("quota > 0").select(
+        F.col("source").alias("_s"), F.expr("(quota - 1) div tokens").cast("int").alias("_full"))
+    last = (chosen.groupBy("source").agg(F.max("key").alias("_last"))
             .select(F.col("source").alias("_s2"), "_last"))
     ends = stored(whole.join(last, F.col("_s").eqNullSafe(F.col("_s2")), "left")
                   .select("_s", "_full", "_last"), "ends")
@@ -184,8 +184,18 @@ bisected AS (
         / sum(pow(share, ((b.low + b.high) // 2) / {GRID})) FROM shares)
       >= {ENTROPY} * ln((SELECT n FROM total)) AS ok
     FROM bisected b WHERE b.high - b.low > 1)),
-chosen AS (SELECT CASE WHEN n < 2 OR (SELECT -sum(share * ln(share)) FROM shares) >= {ENTROPY} * ln(n)
+tempered AS (SELECT CASE WHEN n < 2 OR (SELECT -sum(share * ln(share)) FROM shares) >= {ENTROPY} * ln(n)
     THEN 1.0 ELSE (SELECT max(low) FROM bisected) / {GRID} END AS a FROM total),
+bounded AS (
+  SELECT CAST(0 AS BIGINT) AS low, CAST({GRID} AS BIGINT) AS high
+  UNION ALL
+  SELECT CASE WHEN many THEN (low + high) // 2 ELSE low END, CASE WHEN many THEN high ELSE (low + high) // 2 END
+  FROM (SELECT b.low, b.high, (
+      SELECT max(pow(share, ((b.low + b.high) // 2) / {GRID}) / tokens) / sum(pow(share, ((b.low + b.high) // 2) / {GRID}))
+        FROM shares) * (SELECT t FROM total) > {REPETITIONS} AS many
+    FROM bounded b WHERE b.high - b.low > 1)),
+chosen AS (SELECT CASE WHEN (SELECT max(pow(share, a) / tokens) / sum(pow(share, a)) FROM shares) * t > {REPETITIONS}
+    THEN (SELECT min(high) FROM bounded) / {GRID} ELSE a END AS a FROM tempered, total),
 goals AS (SELECT source, tokens, t,
     pow(share, a) / (SELECT sum(pow(share, a)) FROM shares, chosen) AS weight
   FROM shares, chosen, total),

@@ -51,7 +51,7 @@ def test_exponent_meets_the_goal(spark):
 
     def entropy(a):
         return -sum(w * math.log(w) for w in weights(a))
-    a, step = q.exponent(shares, entropy=0.8), 1 / q.GRID
+    a, step = q.exponent(shares, entropy=0.8, repetitions=None), 1 / q.GRID
     assert entropy(a) >= 0.8 * math.log(3) > entropy(a + step)
     a = q.exponent(shares, repetitions=2.0)
     from pyspark.sql import functions as F
@@ -87,3 +87,19 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, want = sql(docs)
     assert Counter(tuple(r[n] for n in names) for r in planned(docs)[0].collect()) == want
+
+
+TINY = [(i, f"{i} " * 1000, "big") for i in range(200)] + [(999, "one", "tiny"), (998, "two words " * 40, "little")]
+
+
+def test_tiny_source_is_bounded(docs_of):
+    """The entropy goal alone would copy it some 70,000 times."""
+    docs = docs_of(TINY)
+    copies = Counter(r.doc_id for r in q.mixed(docs).collect())
+    assert max(copies.values()) <= math.ceil(q.REPETITIONS) and copies[999] >= 1
+    plan, goals = planned(docs)
+    assert all(r.quota <= q.REPETITIONS * r.tokens + 1 for r in goals.collect())
+    names, want = sql(docs)
+    assert Counter(tuple(r[n] for n in names) for r in plan.collect()) == want
+    free = q.quotas(q.narrow(docs), repetitions=None).collect()
+    assert max(r.quota / r.tokens for r in free) > 1000

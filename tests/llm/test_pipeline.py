@@ -1,5 +1,6 @@
 """The pipeline: each stage against what its operator says of the stage's own input."""
 
+import math
 from collections import Counter
 
 import corpus_pipeline
@@ -98,3 +99,9 @@ def test_odd_rows_go_through(spark, docs_of):
     for name, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, SF), "empty")
     assert empty.count() == 0
+
+
+def test_tiny_source_in_the_mixing_stage(spark, docs_of):
+    rows = [(i, f"word{i} " * 500, "big") for i in range(60)] + [(99, "only one", "tiny")]
+    out = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs_of(rows), SF).collect())
+    assert max(out.values()) <= math.ceil(mixing.REPETITIONS)
