@@ -13,7 +13,7 @@ task emits a spanning forest; the components of these links are the near-duplica
 Defined cases. Null and empty texts have fingerprint 0 and are linked like any other. Fewer than
 three words make one shingle. A null id never names a class unless all its ids are null. Repeated
 rows fall into one class. Empty tables give empty results. Only ``doc_id`` and ``text`` are read;
-``keep_one`` returns all columns of its input, which may have any names but ``_th`` and ``_c``.
+``keep_one`` returns all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,12 +188,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each class the document with the smallest id (then the smallest hash of its text)."""
-    told = docs.withColumn("_th", F.xxhash64("text"))
-    prints = stored(told.select("doc_id", "_th", fingerprint_of("text").alias("fp")), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th"))
+    texts = [F.xxhash64("text").alias("h1"), F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("h2")]
+    prints = stored(docs.select("doc_id", *texts, fingerprint_of("text").alias("fp")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2"))
     firsts = (prints.join(classes(prints).select("fp", "root"), "fp").groupBy("root")
-              .agg(first.alias("first")).select(F.col("first.doc_id").alias("_c"),
-                                                F.col("first._th").alias("_t")))
-    return (told.join(firsts, F.col("doc_id").eqNullSafe(F.col("_c"))
-                      & (F.col("_th") == F.col("_t")), "left_semi")
-            .dropDuplicates(["doc_id", "_th"]).drop("_th"))
+              .agg(first.alias("first")).select("first.h1", "first.h2"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d")
+    return (docs.select(own, *texts).join(firsts, ["h1", "h2"], "left_semi")
+            .dropDuplicates(["h1", "h2"]).select("_d.*"))  # stays where the join has put it

@@ -415,12 +415,13 @@ def digests(docs: DataFrame, keep: str = "none") -> DataFrame:
 def without(docs: DataFrame, keep: str = "first") -> DataFrame:
     """``docs`` without the repeated passages. Documents of which nothing is left go; ``n_chars``,
     where there is one, is counted anew."""
-    found = spans(docs, keep).withColumnRenamed("doc", "_doc").withColumnRenamed("spans", "_spans")
-    out = (docs.withColumn("_key", _doc()).join(found, F.col("_key") == F.col("_doc"), "left")
-           .withColumn("_new", F.when(F.col("_spans").isNull(), F.col("text"))
-                       .otherwise(_cut_text("text", "_spans"))))
-    out = out.filter(F.col("_spans").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_new").alias(c) if c == "text" else
-                        F.when(F.col("_spans").isNull(), F.col(c)).otherwise(
-                            F.length("_new").cast("bigint")).alias(c) if c == "n_chars" else
-                        F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d")
+    rows = docs.select(own, _doc().alias("_key")).join(
+        spans(docs, keep).select(F.col("doc").alias("_key"), "spans"), "_key", "left")
+    text, cut = F.col("_d.text"), F.col("spans").isNotNull()
+    rows = rows.select("_d", "spans", F.when(cut, _cut_text(text, "spans")).otherwise(text).alias("_new"))
+    rows = rows.filter(~cut | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    anew = F.when(cut, F.length("_new").cast("bigint"))
+    return rows.select(*[F.col("_new").alias(c) if c == "text" else
+                         F.coalesce(anew, F.col("_d.n_chars")).alias(c) if c == "n_chars" else
+                         F.col(f"_d.`{c}`").alias(c) for c in docs.columns])

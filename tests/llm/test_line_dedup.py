@@ -48,7 +48,7 @@ def test_random_and_odd(spark, docs_of):
             for _ in range(150)]
     rows += [(None, None), (None, lines[0] + "\n" + lines[0].upper()), (None, lines[1]), (61, ""), (62, None), (63, "x" * 400_000)]
     rows += [rows[0]] * 3
-    docs = docs_of(rows, CLASHES + ("h1", "h2", "docs", "top", "gone", "batch"))
+    docs = docs_of(rows, CLASHES + ("docs", "top", "gone", "batch"))
     out = q.deduplicated(docs)
     assert Counter(map(tuple, q.digests(out).collect())) == slow(rows)
     assert out.select("_d.*").columns == docs.columns

@@ -91,7 +91,8 @@ def test_run_equals_stages(spark, steps):
 
 def test_odd_rows_go_through(spark, docs_of):
     long = " ".join(f"word{i}" for i in range(90))
-    docs = docs_of([(1, None), (2, ""), (None, long + " null id"), (3, long, None), (3, long, None), (4, long)], CLASHES[:4])
+    docs = docs_of([(1, None), (2, ""), (None, long + " null id"), (3, long, None), (3, long, None), (4, long)],
+                   CLASHES[:4] + CLASHES[-11:])
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "odd")
     assert docs.count() >= 1
