@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeaudit.functions.text import matches, mentions, merged
+from codeaudit.functions.calls import with_heads
 from codeaudit.operators.structure import PY_FROM, PY_FUNCTION
 from codeaudit.sources.files import SKIP_PROFILE, only_tracked, outside
 
@@ -98,7 +99,8 @@ def file_facts(files: DataFrame, tracked: DataFrame | None = None,
     """One narrow row per Python or script file in scope."""
     content, path, ext = F.col("content"), F.col("path"), F.col("ext")
     py = ext == ".py"
-    rows = files.filter(ext.isin(".py", ".js", ".ts", ".jsx", ".tsx"))
+    rows = with_heads(files.filter(ext.isin(".py", ".js", ".ts", ".jsx", ".tsx")), py, "def")
+    heads = F.col("heads")
     lower = F.lower(content)
     words = lambda p: F.when(mentions(lower, PII_ANCHORS), F.regexp_extract_all(
         content, F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>"))
@@ -112,8 +114,8 @@ def file_facts(files: DataFrame, tracked: DataFrame | None = None,
     pick = lambda python, script: F.when(py, python).otherwise(script)
     facts = rows.select(
         "repo_id", "path",
-        pick(_python_routes(content, path), _script_routes(content, path)).alias("routes"),
-        pick(_python_auth(content), F.when(guarded, strings(F.lit("middleware")))).alias("auth"),
+        pick(_python_routes(heads, path), _script_routes(content, path)).alias("routes"),
+        pick(_python_auth(heads), F.when(guarded, strings(F.lit("middleware")))).alias("auth"),
         pick(words(PII_PYTHON), words(PII_SCRIPT)).alias("words"),
         pick(_python_fields(content), words(PII_SCRIPT)).alias("pii_fields"),
         pick(F.regexp_count(content, F.lit(LOG_CALL)), logs.cast("int")).alias("log_calls"),

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeaudit.functions.calls import calls_named, computed, with_plain_heads
 from codeaudit.functions.text import (
     let, line_array, matches, mentions, merged, numbered_lines,
 )
@@ -29,11 +30,13 @@ class LineRule:
     anchors: tuple[str, ...]  # every match of the pattern contains one of them
     message: str
     pattern: str
+    names: str = ""  # of the calls the rule is about, which then decide instead of lines
 
 
 PY, JS = ("python",), ("javascript", "typescript")
 CODE = PY + JS
 ANY: tuple[str, ...] = ()
+ARGUMENTS = r"\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)"  # of plain heads
 ARG = r"[A-Za-z_][\w.\[\]]*"
 FIELDS = r"(?:email|password|phone|ssn)"
 PLAIN_HTTP_HOST = r"[a-zA-Z][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}"
@@ -51,14 +54,12 @@ LINE_RULES = [
              ("CORS", "allow_origins"),
              "CORS configured with origins=\"*\" allows any website to make authenticated "
              "requests to your API. Restrict to trusted domains.",
-             r"\bCORS\s*\([^\n]*\borigins\s*=\s*[\"']\*[\"']"
-             r"|\bCORS\s*\([^\n]*[\"']origins[\"']\s*:\s*[\"']\*[\"']"
-             r"|\ballow_origins\s*=\s*\[\s*[\"']\*[\"']\s*\]"),
+             "", r"(?:^|\.)CORS$"),
     LineRule("va-hardcoded-jwt", "sast", "ERROR", CODE, "CWE-798",
              ("jwt.",),
              "JWT secret is hard-coded as a string literal. Move it to an environment variable or "
              "secrets manager.",
-             r"\bjwt\.(?:encode|sign|decode)\s*\(\s*[^,\n]+,\s*[\"'][^\"'\n]*[\"']"),
+             "", r"(?:^|\.)jwt\.(?:encode|sign|decode)$"),
     LineRule("va-client-side-auth", "sast", "WARNING", JS, "CWE-603",
              ("Storage.getItem",),
              "Relying on localStorage/sessionStorage tokens for auth checks is insecure — tokens "
@@ -69,11 +70,7 @@ LINE_RULES = [
              ("logging.", "print", "console.log"),
              "PII field (email, password, phone, ssn) is being logged or printed. This violates "
              "GDPR data minimisation. Mask or redact PII before logging.",
-             r"(?:^|[^\w.])(?:logging\.info|print|console\.log)\s*\((?:[^()\n]*,)?\s*" + ARG
-             + r"\." + FIELDS + r"\s*[,)]"
-             r"|(?:^|[^\w.])logging\.debug\s*\((?:[^()\n]*,)?\s*" + ARG
-             + r"\.(?:email|password)\s*[,)]"
-             r"|(?:^|[^\w.])logging\.\w+\s*\(\s*f[\"'][^\n]*\{" + ARG + r"\." + FIELDS + r"\}"),
+             "", r"^(?:logging\.\w+|print|console\.log)$"),
     LineRule("va-password-in-url", "gdpr", "WARNING", ANY, "CWE-598",
              ("password=", "token=", "secret=", "api_key="),
              "Sensitive data (password/token) is passed as a URL query parameter. Query strings "
@@ -104,20 +101,18 @@ LINE_RULES = [
              ("eval", "exec"),
              "LLM output is passed to eval()/exec(). An attacker who controls the prompt can "
              "achieve arbitrary code execution. Parse structured output instead (JSON, AST, etc.).",
-             r"(?:^|[^\w.])(?:eval|exec)\s*\(\s*[A-Za-z_][^,\n]*\)"),
+             "", r"^(?:eval|exec)$"),
     LineRule("va-llm-output-to-subprocess", "injection", "ERROR", PY, "CWE-78",
              ("subprocess.", "os.system"),
              "A command derived from LLM output is executed via subprocess or os.system with "
              "shell=True. This can lead to command injection. Validate and sanitize all "
              "LLM-generated commands.",
-             r"\bsubprocess\.(?:run|call|Popen)\s*\([^\n]*\bshell\s*=\s*True\b"
-             r"|(?:^|[^\w.])os\.system\s*\("),
+             "", r"(?:^|\.)subprocess\.(?:run|call|Popen)$|^os\.system$"),
     LineRule("va-missing-output-validation", "injection", "ERROR", JS, "CWE-79",
              ("InnerHTML", "innerHTML", "document.write"),
              "LLM output is rendered in the DOM without sanitization, enabling XSS if the model "
              "returns malicious HTML/JS. Sanitize with DOMPurify or escape before rendering.",
-             r"<[A-Za-z][^<>\n]*\bdangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:"
-             r"|\w\.innerHTML\s*=(?:[^=]|$)|\bdocument\.write\s*\("),
+             "", r"(?:^|\.)document\.write$"),
 ]
 
 SQL_CONCAT = LineRule(
@@ -147,14 +142,13 @@ OPEN_ROUTE = LineRule(
     "API route is missing authentication middleware (login_required / Depends(auth)). All "
     "non-public endpoints must enforce authentication per SOC 2 access-control requirements.",
     r"(?m)^[ \t]*@\w+\.(route|get|post)\([^\n]*\)[ \t]*\n((?:[ \t]*@[^\n]*\n)*+)"
-    r"[ \t]*def[ \t]+\w+[ \t]*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)")
+    r"[ \t]*def[ \t]+\w+[ \t]*" + ARGUMENTS)
 USER_INPUT = LineRule(
     "va-user-input-to-llm", "injection", "ERROR", PY, "CWE-77",
     (".create",),
     "User-controlled input is interpolated directly into an LLM prompt via f-string. This enables "
     "prompt injection attacks. Sanitize or template the input before sending to the model.",
-    r"(?:\.chat\.completions\.create|\.messages\.create|\bopenai\.ChatCompletion\.create)\s*"
-    r"\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)")
+    "", r"\.chat\.completions\.create$|\.messages\.create$|(?:^|\.)openai\.ChatCompletion\.create$")
 USER_F_STRING = r"[\"']role[\"']\s*:\s*[\"']user[\"']\s*,\s*[\"']content[\"']\s*:\s*f[\"']"
 
 LEVELS = {
@@ -176,6 +170,12 @@ REMEDIATION = {
 CONTEXT_LINES = 15
 # ---------------------------------------------------------------------------------------
 
+#: Patterns beside the calls: what a rule is about without being a call, under the rule's id.
+MARKS = {
+    "va-broad-cors": r"\ballow_origins\s*=\s*\[\s*[\"']\*[\"']\s*\]",
+    "va-missing-output-validation": r"<[A-Za-z][^<>]*\bdangerouslySetInnerHTML\s*=\s*\{\s*\{\s*__html\s*:"
+                                    r"|\w\s*\.\s*innerHTML\s*=(?!=)",
+}
 ALL_RULES = [*LINE_RULES, SQL_CONCAT, INNER_HTML, ERROR_LEAK, OPEN_ROUTE, USER_INPUT]
 COMMENT = r"^\s*(?:#|//|\*)"
 
@@ -190,7 +190,9 @@ def line_rule_hits(family: str) -> Column:
     A text or line that holds none of a rule's anchor words is out by a plain search; patterns
     see only what is left.
     """
-    rules = [r for r in LINE_RULES if r.family == family]
+    rules = [r for r in LINE_RULES if r.family == family and not r.names]
+    if not rules:
+        return F.array().cast("array<struct<line_no:int,line:string,rule_id:string>>")
     content = F.col("content")
     anchors = {a for r in rules for a in r.anchors}
     possible = F.lit(False)
@@ -209,9 +211,58 @@ def line_rule_hits(family: str) -> Column:
     return F.when(possible, F.flatten(F.transform(lines, of_line)))
 
 
+CALL_RULES = [r for r in ALL_RULES if r.names]
+
+
+def with_calls(files: DataFrame) -> DataFrame:
+    """Files with ``calls``, what the call rules are about, and ``heads``, the text with plain argument
+    lists; only texts that hold a rule's words are read for them. One pass, stages of their own."""
+    content, possible = F.col("content"), F.lit(False)
+    for r in CALL_RULES:
+        possible = possible | (_gate(r) & mentions(content, r.anchors))
+    return computed(files.select("*", calls_named(
+        F.when(possible, content), F.col("lang"), "|".join(r.names for r in CALL_RULES), MARKS).alias("calls"),
+        with_plain_heads(F.when(_gate(OPEN_ROUTE) & mentions(content, OPEN_ROUTE.anchors), content)).alias("heads")))
+
+
+def _call_matters(rule: LineRule, c: Column) -> Column:
+    """Whether a call (or mark) of the rule's names is a hit."""
+    field, short = r"^%s\.%s$" % (ARG, FIELDS), r"^%s\.(?:email|password)$" % ARG
+    args, first = c["args"], F.get(c["args"], F.lit(0))
+    plain = lambda a, pattern: a["key"].isNull() & a["value"].rlike(pattern)
+    if rule.id == "va-broad-cors":
+        return F.exists(args, lambda a: (a["key"].eqNullSafe("origins") & a["value"].rlike(r"^[\"']\*[\"']$"))
+                        | a["value"].rlike(r"[\"']origins[\"']\s*:\s*[\"']\*[\"']"))
+    if rule.id == "va-hardcoded-jwt":
+        return F.coalesce(plain(F.get(args, F.lit(1)), r"^[\"'][^\"'\n]*[\"']"), F.lit(False))
+    if rule.id == "va-pii-in-logs":
+        told = F.coalesce(plain(first, r"(?s)^f[\"'].*\{%s\.%s\}" % (ARG, FIELDS)), F.lit(False))
+        return (F.when(c["name"].isin("logging.info", "print", "console.log"), F.exists(args, lambda a: plain(a, field)))
+                .when(c["name"] == "logging.debug", F.exists(args, lambda a: plain(a, short))).otherwise(False)
+                | (c["name"].startswith("logging.") & told))
+    if rule.id == "va-llm-output-to-eval":
+        return (F.size(args) == 1) & plain(first, r"^[A-Za-z_]")
+    if rule.id == "va-llm-output-to-subprocess":
+        return (c["name"] == "os.system") | F.exists(
+            args, lambda a: a["key"].eqNullSafe("shell") & (a["value"] == "True"))
+    if rule.id == "va-user-input-to-llm":
+        return F.exists(args, lambda a: a["value"].rlike(USER_F_STRING))
+    return F.lit(True)
+
+
+def call_rule_hits(family: str) -> Column:
+    """Array of (line_no, line, rule_id) of the family's call rules; a line counts once for a rule."""
+    def of_call(c: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(
+            _gate(r) & ((c["name"] == r.id) | (c["name"].rlike(r.names) & _call_matters(r, c))),
+            F.struct(c["line_no"].alias("line_no"), c["line"].alias("line"), F.lit(r.id).alias("rule_id")))
+            for r in CALL_RULES if r.family == family]))
+    return F.array_distinct(F.flatten(F.transform("calls", of_call)))
+
+
 def _text_rule_hits(rule: LineRule, groups: int = 0,
-                    condition: Callable[[Column], Column] | None = None) -> Column:
-    found = matches(F.col("content"), rule.pattern, groups)
+                    condition: Callable[[Column], Column] | None = None, text: str = "content") -> Column:
+    found = matches(F.col(text), rule.pattern, groups)
     if condition is not None:
         found = F.filter(found, condition)
     return F.when(_gate(rule) & mentions(F.col("content"), rule.anchors), F.transform(found, lambda m: F.struct(
@@ -228,16 +279,16 @@ def _open_route(m: Column) -> Column:
 
 def rule_hits(family: str) -> Column:
     """Array of (line_no, line, rule_id) of all rules of a family over one file's row, which
-    carries ``content`` and ``lang``."""
+    carries ``content``, ``lang``, ``calls`` and ``heads``."""
     hits = [line_rule_hits(family)]
+    if any(r.family == family for r in CALL_RULES):
+        hits.append(call_rule_hits(family))
     if family == "sast":
         hits += [_text_rule_hits(SQL_CONCAT), _text_rule_hits(INNER_HTML)]
     elif family == "gdpr":
         hits += [_text_rule_hits(ERROR_LEAK, 1, lambda m: m["match"].rlike(LEAKED_RETURN))]
     elif family == "soc2":
-        hits += [_text_rule_hits(OPEN_ROUTE, 3, _open_route)]
-    elif family == "injection":
-        hits += [_text_rule_hits(USER_INPUT, 1, lambda m: m["groups"][0].rlike(USER_F_STRING))]
+        hits += [_text_rule_hits(OPEN_ROUTE, 3, _open_route, "heads")]
     return merged(*hits)
 
 
@@ -282,7 +333,7 @@ def rule_check(family: str) -> Column:
 
 def rule_findings(files: DataFrame, *families: str) -> DataFrame:
     """Findings of rule families in one pass over the files."""
-    return emit(with_language(files, keep_others=True), [rule_check(f) for f in families])
+    return emit(with_calls(with_language(files, keep_others=True)), [rule_check(f) for f in families])
 
 
 def injection_segments(files: DataFrame) -> DataFrame:
@@ -294,7 +345,7 @@ def injection_segments(files: DataFrame) -> DataFrame:
         h["line_no"].alias("line_no"), h["rule_id"].alias("rule_id"),
         lookup(messages, h["rule_id"]).alias("message"),
         segment(F.col("content"), h["line_no"]).alias("around")))
-    return (with_language(files).select("repo_id", "path", F.inline(cut))
+    return (with_calls(with_language(files)).select("repo_id", "path", F.inline(cut))
             .select("repo_id", "path", "line_no", "rule_id", "message", "around.*"))
 
 

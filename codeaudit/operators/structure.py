@@ -1,13 +1,15 @@
 """Imports, functions and classes of Python and JavaScript files, by regular expressions.
 
 Each extraction works inside one file's row: a match yields its line, its groups and, where a
-block matters, the block's text through a look-ahead, so that nested blocks are found as well.
+block matters, the block's text through a look-ahead, so that nested blocks are found as well. Argument
+lists are made plain before, see ``functions.calls``, so three levels of parentheses are all there are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeaudit.functions.calls import with_heads
 from codeaudit.functions.text import let, matches, merged, newlines, strip
 from codeaudit.sources.files import SKIP_STRUCTURE, only_tracked, outside, with_language
 
@@ -163,8 +165,8 @@ def script_functions(content: Column) -> Column:
 def functions(code: DataFrame) -> DataFrame:
     """(repo_id, path, lang, name, params, start_line, end_line, is_async, is_exported,
     decorators)."""
-    content = F.col("content")
-    return _by_language(code, python_functions(content), script_functions(content))
+    code = with_heads(code, F.col("lang") == "python", "def")
+    return _by_language(code, python_functions(F.col("heads")), script_functions(F.col("content")))
 
 
 def _class(name: Column, bases: Column, methods: Column, start: Column) -> Column:
@@ -201,8 +203,8 @@ def script_classes(content: Column) -> Column:
 
 def classes(code: DataFrame) -> DataFrame:
     """(repo_id, path, lang, name, bases, methods, start_line)."""
-    content = F.col("content")
-    return _by_language(code, python_classes(content), script_classes(content))
+    code = with_heads(code, F.col("lang") == "python", "class")
+    return _by_language(code, python_classes(F.col("heads")), script_classes(F.col("content")))
 
 
 def code_files(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def file_findings(files: DataFrame) -> DataFrame:
     """Every check that needs one file only, in one pass: secrets, rules, Next.js, cost."""
     checks = [*secrets.secret_checks(), *[rules.rule_check(f) for f in FAMILIES],
               *frontend.next_checks(), *cost.cost_checks()]
-    return emit(with_language(files, keep_others=True), checks)
+    return emit(rules.with_calls(with_language(files, keep_others=True)), checks)
 
 
 def in_scope(findings: DataFrame, files: DataFrame, tracked: DataFrame | None = None,

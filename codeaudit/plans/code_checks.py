@@ -9,7 +9,7 @@ from codeaudit.plans.common import (
     FILES, LANG_SQL, findings_sql, lines_cte, matches_cte, query, shown, with_ctes,
 )
 from codeaudit.plans.corpus import Corpus, sql_text
-from codeaudit.plans.rule_checks import _none_of
+from codeaudit.plans.rule_checks import _ARGS, _none_of
 from codeaudit.sources import files as S
 
 NEXT_REPOS = """next_repos AS (SELECT DISTINCT repo_id FROM files
@@ -154,18 +154,29 @@ texts AS (SELECT repo_id, path, array_agg(line ORDER BY line_no) AS ls FROM line
 _JS_FUNCTIONS = ["js_f", "js_a"]
 
 
+def _flat_sql(args: str) -> str:
+    """Arguments without strings and, from the inside, without brackets."""
+    args = f"regexp_replace({args}, {sql_text(_STRINGS)}, '_', 'g')"
+    for _ in range(6):
+        args = f"regexp_replace({args}, '[(][^()]*[)]|[{{][^{{}}]*[}}]', '', 'g')"
+    return args
+
+
+_STRINGS = "\"[^\"\n]*\"|'[^'\n]*'"
+
+
 @query("functions_all", with_ctes(
-    FILES, lines_cte(), _PY_LINES, r"""
+    FILES, lines_cte(), _PY_LINES, rf"""
 defs AS (SELECT b.*, regexp_extract(line, 'def[ \t]+(\w+)', 1) AS name,
     regexp_extract(array_to_string(ls[line_no:line_no + 5], chr(10)),
-      'def[ \t]+\w+[ \t]*[(]((?:[^()]|[(][^()]*[)])*)[)]', 1) AS args,
+      {sql_text(r'def[ \t]+\w+[ \t]*[(](' + _ARGS + ')[)]')}, 1) AS args,
     ls[line_no - 1] AS above, ls[line_no - 2] AS above2
   FROM blocks b JOIN texts USING (repo_id, path) WHERE is_def)""",
     matches_cte("js_f", structure.JS_FUNCTION, _JS, {"name": 1, "args": 2}),
     matches_cte("js_a", structure.JS_ARROW, _JS, {"name": 1, "args": 2}), select=rf"""
 SELECT repo_id, path, name, CAST(line_no AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS
   end_line, regexp_matches(line, '^[ \t]*async') AS is_async,
-  {_JOIN(rf"list_transform({_LIST(r"regexp_extract(regexp_replace(regexp_replace(args, '[(][^()]*[)]|[{][^{}]*[}]', '', 'g'), '^[^*]*/\s*,', ''), '^[^*]*')")}, lambda p: regexp_extract(p, '^\w*'))")} AS params,
+  {_JOIN(rf"list_transform({_LIST("regexp_extract(regexp_replace(" + _flat_sql('args') + r", '^[^*]*/\s*,', ''), '^[^*]*')")}, lambda p: regexp_extract(p, '^\w*'))")} AS params,
   array_to_string(list_filter([CASE WHEN regexp_matches(above, '^[ \t]*@') AND
       regexp_matches(above2, '^[ \t]*@[\w.]+\s*$') THEN trim(above2)[2:] END,
     CASE WHEN regexp_matches(above, '^[ \t]*@[\w.]+\s*$') THEN trim(above)[2:] END],

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeaudit.sources.files import with_names
 
+# Their number has no common factor with that of the sources, so that every repository gets each of them.
 # (path below the repository root, whether the document's text comes first or is a file of its own,
 # passage)
 # {id} is the document's number.
@@ -194,6 +195,97 @@ let twice = async (n) => n * 2
 class Base {}
 export class Derived extends Base {
 }"""),
+    ("src/spread_{id}.py", True, """CORS(
+    app,
+    origins="*",
+)
+CORS(app, origins=allowed(("a", "*")))
+app.add_middleware(
+    CORSMiddleware,
+    allow_origins=[
+        "*"
+    ],
+)
+jwt.encode(
+    claims(user, now(1)),
+    "k3y",
+)
+jwt.encode(claims(user, "k3y"), KEY)
+print(
+    "mail",
+    user.email,
+)
+print(
+    mask(user.email),
+)
+logging.info(
+    ")", user.phone)
+eval(
+    reply
+)
+eval("1 + 1",
+     scope)
+subprocess.run(
+    cmd(parts(1, (2, 3))),  # not ) here
+    shell=True,
+)
+subprocess.run(
+    cmd,
+    shell=False,
+)
+os.system(
+    cmd)
+r = client.chat.completions.create(
+    model=pick(best(of(all(models())))),
+    messages=[{"role": "user", "content": f"Say {q}"}],
+)
+r = client.chat.completions.create(
+    model=pick(best(of(all(models())))),
+    messages=[{"role": "user", "content": "hi"}],
+)"""),
+    ("web/spread_{id}.tsx", True, """export const view = (h) => <p
+  dangerouslySetInnerHTML={
+    {__html: h}} />
+node.innerHTML =
+  reply
+document.write(
+  reply)
+if (node.innerHTML ===
+  reply) { go() }
+console.log(
+  "mail",
+  user.email)
+jwt.sign(
+  claims(user),
+  'k3y')"""),
+    ("src/deep_{id}.py", True, """def first(a=g(h(i(j(1))))):
+    return a
+
+def second(x=")", y="(", *rest):
+    return x
+
+class Deep(Base, metaclass=make(of(a(b(c()))))):
+    def inside(self, size=(1, (2, (3, (4, 5)))), /, mode="a)b"):
+        return size
+
+@app.route("/deep/{id}")
+def third(a=g(h(i(j(1)))), b="("):
+    return a
+
+@router.get("/deep/{id}")
+def fourth(a=g(h(i(j(1)))), user=Depends(get(the(current(user()))))):
+    return a
+
+def fifth(z):
+    return z"""),
+    ("src/broken_{id}.py", True, """broken(
+def after(a, b):
+    return a
+print("(", [1, 2
+subprocess.run(cmd, shell=True)
+x = {"a": (1, 2}
+os.system(cmd)
+eval(reply)"""),
     ("src/models_{id}.py", True, """import os as operating, json
 class Animal:
     def speak(self):

@@ -111,11 +111,28 @@ _RE2 = {
     "va-error-leak": r"(?m)^    except\b[^\n:]*:[^\n]*(?:\n     +[^ \n][^\n]*)*",
     "va-no-auth-middleware":
         r"(?m)^[ \t]*@\w+\.(route|get|post)\([^\n]*\)[ \t]*\n((?:[ \t]*@[^\n]*\n)*)"
-        r"[ \t]*def[ \t]+\w+[ \t]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)",
-    "va-user-input-to-llm":
-        r"(?:\.chat\.completions\.create|\.messages\.create|\bopenai\.ChatCompletion\.create)\s*"
-        r"\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)",
+        r"[ \t]*def[ \t]+\w+[ \t]*\((ARGS)\)",
 }
+_CALL_SQL = {  # the call's pattern, and what its text must hold
+    "va-broad-cors": (r"\bCORS\s*\(ARGS\)|\ballow_origins\s*=\s*\[\s*[\"']\*[\"']\s*\]",
+                      r"^allow_origins|\borigins\s*=\s*[\"']\*[\"']|[\"']origins[\"']\s*:\s*[\"']\*[\"']"),
+    "va-hardcoded-jwt": (r"\bjwt\.(?:encode|sign|decode)\s*\(ARGS\)",
+                         r"^jwt\.\w+\s*\(\s*(?:[^,()]|\((?:[^()]|\([^()]*\))*\))*,\s*[\"'][^\"'\n]*[\"']"),
+    "va-pii-in-logs": (r"(?:\blogging\.\w+|\bprint|\bconsole\.log)\s*\(ARGS\)",
+                       r"^(?:logging\.info|print|console\.log)\s*\((?:[^()]*,|\s*\"\)\",)?\s*" + rules.ARG + r"\." + rules.FIELDS
+                       + r"\s*[,)]|^logging\.debug\s*\((?:[^()]*,)?\s*" + rules.ARG + r"\.(?:email|password)\s*[,)]"
+                       r"|^logging\.\w+\s*\(\s*f[\"'][^\n]*\{" + rules.ARG + r"\." + rules.FIELDS + r"\}"),
+    "va-llm-output-to-eval": (r"(?:^|[^\w.])(?:eval|exec)\s*\(ARGS\)", r"\(\s*[A-Za-z_][^,]*\)$"),
+    "va-llm-output-to-subprocess": (
+        r"\bsubprocess\.(?:run|call|Popen)\s*\(ARGS\)|\bos\.system\s*\(", r"\bshell\s*=\s*True\b|^os"),
+    "va-missing-output-validation": (
+        rules.MARKS["va-missing-output-validation"].replace("=(?!=)", "=[^=]") + r"|\bdocument\.write\s*\(", ""),
+    "va-user-input-to-llm": (r"[\w.]*(?:\.chat\.completions\.create|\.messages\.create|\bopenai\.ChatCompletion\.create)\s*"
+                             r"\(ARGS\)", rules.USER_F_STRING),
+}
+_ARGS = "[^()]*"
+for _ in range(5):  # deeper than any call of the derived files
+    _ARGS = rf"""(?:[^()"'#]|#[^\n]*|"[^"\n]*"|'[^'\n]*'|\({_ARGS}\))*"""
 
 
 def _lang_in(rule: rules.LineRule) -> str:
@@ -152,16 +169,22 @@ def _family_sql(family: str) -> str:
         "va-no-auth-middleware": r"""NOT (verb = 'route' AND
           regexp_matches(more, '(?m)^[ \t]*@login_required\b'))
           AND NOT (verb <> 'route' AND regexp_matches(args, '=\s*Depends\('))""",
-        "va-user-input-to-llm": f"regexp_matches(args, {sql_text(rules.USER_F_STRING)})",
     }
-    groups = {"va-no-auth-middleware": {"verb": 1, "more": 2, "args": 3},
-              "va-user-input-to-llm": {"args": 1}}
+    groups = {"va-no-auth-middleware": {"verb": 1, "more": 2, "args": 3}}
     of = [r for r in rules.ALL_RULES if r.family == family]
     for n, rule in enumerate(of):
+        if rule.names:
+            pattern, holds = _CALL_SQL[rule.id]
+            ctes.append(matches_cte(f"m{n}", pattern.replace("ARGS", _ARGS), _lang_in(rule)))
+            selects.append(f"""SELECT DISTINCT repo_id, path, line_no, line, '{rule.id}' AS rule_id
+              FROM (SELECT repo_id, path, line_no + CAST(starts_with(match, chr(10)) AS INTEGER) AS line_no FROM m{n}
+                WHERE regexp_matches(match, {sql_text(holds)})) JOIN lines USING (repo_id, path, line_no)
+              WHERE NOT regexp_matches(line, {sql_text(rules.COMMENT)})""")
+            continue
         if rule in rules.LINE_RULES:
             selects.append(_line_rule_sql(rule))
             continue
-        ctes.append(matches_cte(f"m{n}", _RE2.get(rule.id, rule.pattern), _lang_in(rule),
+        ctes.append(matches_cte(f"m{n}", _RE2.get(rule.id, rule.pattern).replace("ARGS", _ARGS), _lang_in(rule),
                                 groups.get(rule.id)))
         selects.append(
             f"SELECT repo_id, path, line_no, split_part(match, chr(10), 1) AS line, "

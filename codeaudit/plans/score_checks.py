@@ -75,7 +75,7 @@ _SCORED = [FILES, _findings_cte(_ANALYZER_OF), SCORES_SQL]
 
 def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and rule families in one pass: what the score queries work on."""
-    files = S.with_language(Corpus(spark, sf_dir).files, keep_others=True)
+    files = rules.with_calls(S.with_language(Corpus(spark, sf_dir).files, keep_others=True))
     return emit(files, [*secrets.secret_checks(), *[rules.rule_check(f) for f in audit.FAMILIES]])
 
 
