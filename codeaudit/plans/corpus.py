@@ -542,7 +542,9 @@ deps AS (
     ['==', '>=', '^', '~=', ''][CAST(l_quantity AS BIGINT) % 5 + 1]
       || CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 4 THEN NULL ELSE
         CAST(CAST(l_quantity AS BIGINT) % 6 AS VARCHAR) || '.'
-        || CAST(l_orderkey % 8 AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) END AS requested,
+        || CAST(l_orderkey % 8 AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR)
+        || CASE WHEN l_orderkey % 61 = 3 THEN '{"0" * 40}' WHEN l_orderkey % 16 <> 5 THEN ''
+             WHEN {_ecosystem('l_partkey')} IN ('npm', 'crates') THEN '-rc.1' ELSE 'rc1' END END AS requested,
     l_orderkey * 10 + l_linenumber AS ord
   FROM lineitem)"""
 REGISTRY_SQL = f"""
@@ -563,7 +565,7 @@ advisories AS (
   SELECT {_ecosystem('p_partkey')} AS ecosystem, {_package('p_partkey')} AS package,
     'OSV-' || CAST(p_partkey AS VARCHAR) AS advisory,
     CASE WHEN p_size % 3 <> 0 THEN CAST(p_size % 4 AS VARCHAR) || '.0' END AS introduced,
-    CASE WHEN p_size % 5 <> 0 THEN CAST(p_size % 4 + 1 AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN '.2.1' ELSE '.2.1.4' END END AS fixed,
+    CASE WHEN p_size % 5 <> 0 THEN CAST(p_size % 4 + 1 AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN '.' || (p_size % 7) || '.1' ELSE '.2.1.4' END END AS fixed,
     ['critical', 'high', 'medium'][p_size % 3 + 1] AS severity
   FROM part)"""
 
@@ -611,7 +613,8 @@ class Corpus:
     def deps(self) -> DataFrame:
         line, qty = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
         signs = F.array(*[F.lit(s) for s in ("==", ">=", "^", "~=", "")])
-        version = F.concat_ws(".", qty % 6, F.col("l_orderkey") % 8, line)
+        order = F.col("l_orderkey")
+        version = F.concat_ws(".", qty % 6, order % 8, line)
         return self.table("lineitem").select(
             F.concat(F.lit("team-"), F.col("l_suppkey")).alias("repo_id"),
             F.when(line == 1, "requirements.txt").otherwise(
@@ -619,7 +622,9 @@ class Corpus:
             F.when(line == 1, 1).otherwise(7).alias("manifest_rank"),
             package_name(F.col("l_partkey")).alias("package"),
             ecosystem_name(F.col("l_partkey")).alias("ecosystem"),
-            F.when(qty % 5 != 4, F.concat(F.element_at(signs, (qty % 5 + 1).cast("int")), version))
+            F.when(qty % 5 != 4, F.concat(F.element_at(signs, (qty % 5 + 1).cast("int")), version, F.when(
+                order % 61 == 3, "0" * 40).when(order % 16 != 5, "").when(
+                    ecosystem_name(F.col("l_partkey")).isin("npm", "crates"), "-rc.1").otherwise("rc1")))
              .alias("requested"),
             (F.col("l_orderkey") * 10 + line).cast("bigint").alias("ord"))
 
@@ -661,7 +666,8 @@ class Corpus:
             package_name(F.col("p_partkey")).alias("package"),
             F.concat(F.lit("OSV-"), F.col("p_partkey")).alias("id"),
             F.when(size % 3 != 0, F.concat((size % 4).cast("string"), F.lit(".0"))).alias("introduced"),
-            F.when(size % 5 != 0, F.concat((size % 4 + 1).cast("string"), F.when(size % 2 == 0, ".2.1").otherwise(".2.1.4"))).alias("fixed"),
+            F.when(size % 5 != 0, F.concat((size % 4 + 1).cast("string"), F.when(size % 2 == 0, F.concat(
+                F.lit("."), size % 7, F.lit(".1"))).otherwise(".2.1.4"))).alias("fixed"),
             F.element_at(severities, size % 3 + 1).alias("severity"))
 
     @cached_property

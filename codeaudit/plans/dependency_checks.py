@@ -91,16 +91,16 @@ _POPULAR = ("popular(ecosystem, name, pos) AS (VALUES " + ", ".join(
 
 def _parts_sql(v: str) -> str:
     return (rf"list_concat(list_transform(list_filter(string_split_regex({v}, '[.\-]'), "
-            r"lambda s: regexp_matches(s, '^\d')), lambda s: CAST(regexp_extract(s, '^\d+') "
-            "AS DECIMAL(38, 0))), [0, 0, 0])[1:3]")
+            r"lambda s: regexp_matches(s, '^\d')), lambda s: coalesce(TRY_CAST("
+            r"regexp_extract(s, '^\d+') AS DECIMAL(38, 0)), CAST(repeat('9', 38) AS DECIMAL(38, 0)))), [0, 0, 0])[1:3]")
 
 
 def _range_sql(v: str) -> str:
-    """All parts without zeros at the end, so that lists compare as versions."""
-    return (rf"list_transform(string_split(regexp_replace(array_to_string(list_transform(list_filter("
-            rf"string_split_regex({v}, '[.\-]'), lambda s: regexp_matches(s, '^\d')), "
-            r"lambda s: regexp_extract(s, '^\d+')), '.'), '(\.0+)+$', ''), '.'), "
-            "lambda s: CAST(s AS DECIMAL(38, 0)))")
+    """(parts without zeros at the end, each with its length in front; 0 for a release candidate, else 1):
+    compares as versions do, of the kinds that the derived tables hold."""
+    numbers = rf"regexp_replace(regexp_extract({v}, '^[\d.]+'), '(\.0+)+$', '')"
+    return (rf"{{'parts': list_transform(string_split({numbers}, '.'), lambda s: {{'n': length(ltrim(s, '0')), 'd': ltrim(s, '0')}}), "
+            rf"'final': CASE WHEN regexp_matches({v}, 'rc') THEN 0 ELSE 1 END}}")
 
 
 CHECKED_SQL = rf"""uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, package, ecosystem
@@ -192,10 +192,11 @@ def deps_low_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("deps_advisories", with_ctes(DEPS, REGISTRY, ADVISORIES_SQL, _POPULAR, CHECKED_SQL, rf"""
-hit AS (SELECT c.*, advisory, introduced, fixed, a.severity AS sev FROM checked c
-  JOIN advisories a USING (ecosystem, package) WHERE base IS NOT NULL
-    AND (introduced IS NULL OR {_range_sql('base')} >= {_range_sql('introduced')})
-    AND (fixed IS NULL OR {_range_sql('base')} < {_range_sql('fixed')}))""", select=findings_sql(
+hit AS (SELECT c.* REPLACE (exact AS base), advisory, introduced, fixed, a.severity AS sev
+  FROM (SELECT *, nullif(regexp_extract(requested, '\d[-\w.]*'), '') AS exact FROM checked) c
+  JOIN advisories a USING (ecosystem, package) WHERE exact IS NOT NULL
+    AND (introduced IS NULL OR {_range_sql('exact')} >= {_range_sql('introduced')})
+    AND (fixed IS NULL OR {_range_sql('exact')} < {_range_sql('fixed')}))""", select=findings_sql(
     "hit", **_DEP, category=_VULN, severity="sev", ord="5", cwe="advisory",
     title="'CVE: ' || package || '==' || base || ' — ' || advisory",
     description="'Version ' || base || ' of ''' || package || ''' is affected by ' || advisory || "

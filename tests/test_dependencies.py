@@ -3,9 +3,10 @@
 import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from codeaudit.functions.versions import base_version, version_parts, whole, years_since
+from codeaudit.functions.versions import base_version, version_key, version_parts, years_since
 from codeaudit.operators import dependencies as D, manifests as M
 from codeaudit.sources.registry import registry
 
@@ -201,8 +202,50 @@ def test_findings_of_one_join(spark):
     assert plan.toString().count("Join ") == 1
 
 
-def test_versions_of_any_length_compare(spark):
-    def less(a, b):
-        return spark.range(1).select(whole(F.lit(a)) < whole(F.lit(b))).first()[0]
-    assert less("1.2.3.4", "1.2.3.5") and less("202401011234.1", "202401011235.1") and less("1.2", "1.2.0.1")
-    assert not less("1.2", "1.2.0") and not less("1.2.0", "1.2") and not less("1.10", "1.9")
+def sorted_keys(spark, versions, ecosystem):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string").select(
+        "i", version_key(F.col("v"), F.lit(ecosystem)).alias("k")).collect()
+    return [k for _, k in sorted(map(tuple, rows))]
+
+
+@pytest.mark.parametrize("ecosystem, ascending", [
+    ("pypi", ["0.9", "1.0.dev1", "1.0.dev10", "1.0a1.dev2", "1.0a1", "1.0-alpha.2", "1.0a2.post1", "1.0b1", "1.0.pre3", "1.0RC11",
+              "1.0", "1.0.post1.dev3", "1.0.post1", "1.0-2", "1.0.1", "1.2.3.4", "1.2.3.5", "1.9", "1.10", "202401011234.1",
+              "1" + "0" * 40, "2" + "0" * 40, "1!0.1"]),
+    ("npm", ["0.9.9", "1.0.0-0", "1.0.0-9", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-alpha-x", "1.0.0-beta",
+             "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.1", "1.2.0", "1.10.0", "1." + "9" * 39 + ".0", "2.0.0"])])
+def test_version_order(spark, ecosystem, ascending):
+    keys = sorted_keys(spark, ascending, ecosystem)
+    assert keys == sorted(set(keys))
+
+
+def test_equal_and_odd_versions(spark):
+    for eco, same in (("pypi", ["1", "1.0", "v1.0.0", "1.0+local", "01.0"]), ("npm", ["1.0.0", "=v1.0.0", "1.0.0+build.7", "1"]),
+                      ("pypi", ["1.0rc1", "1.0.c1", "1-pre-1", "1.0preview1"])):
+        assert len(set(sorted_keys(spark, same, eco))) == 1
+    assert sorted_keys(spark, ["", "latest", None, "*"], "npm") == [None] * 4
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.integers(0, 10 ** 45), min_size=1, max_size=5), min_size=2, max_size=12))
+def test_releases_compare_as_lists(spark, versions):
+    keys = sorted_keys(spark, [".".join(map(str, v)) for v in versions], "npm")
+
+    def bare(v):
+        while v and v[-1] == 0:
+            v = v[:-1]
+        return v
+    order = sorted(range(len(versions)), key=lambda i: bare(versions[i]))
+    assert [keys[i] for i in order] == sorted(keys)
+
+
+def test_long_numbers_and_candidates_end_nothing(spark):
+    long = "1" + "0" * 45
+    assert spark.range(1).select(version_parts(F.lit(f"{long}.2"))).first()[0] == [10 ** 38 - 1, 2]
+    deps = spark.createDataFrame([("r", "requirements.txt", "p", "pypi", v, i) for i, v in enumerate(
+        ["==1.0.0rc1", "==1.0.0", f"=={long}", ">=0.9,<2"])], "repo_id string, manifest string, package string, ecosystem string, "
+        "requested string, ord int")
+    advisories = spark.createDataFrame([("pypi", "p", "A", "0.9.1", "1.0.0", "high"), ("pypi", "p", "B", "5", None, "low")],
+                                       "ecosystem string, package string, id string, introduced string, fixed string, severity string")
+    assert sorted(r.title for r in D.known_vulnerabilities(deps, advisories).collect()) == sorted([
+        "CVE: p==1.0.0rc1 — A", f"CVE: p=={long} — B"])
