@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeaudit.functions.text import explode_lines, line_array, mask, matches
@@ -12,6 +17,8 @@ from codeaudit.plans.common import (
 )
 from codeaudit.plans.corpus import Corpus, sql_text
 from codeaudit.sources import files as S
+from codeaudit.sources.tree import read_tree, write_tree
+from codeaudit.sources.work import work_dir
 
 REPORT_LANG_SQL = ("CASE " + " ".join(
     f"WHEN ext = '{e}' THEN '{n}'" for e, n in S.REPORT_LANGUAGES.items()) + " END")
@@ -32,6 +39,74 @@ _INVENTORY = f"""inventory AS (
     ON t.repo_id = f.repo_id AND t.path = f.path)"""
 
 
+_ON_DISK = """['pkg_{id}/__init__.py', 'web/_app_{id}.tsx', '.github/ci_{id}.yml', 'svc_{id}/.env', 'src/a_{id}.py']"""
+_DISK_SQL = f"""placed AS (SELECT doc_id, source AS repo_id, replace({_ON_DISK}[doc_id % 5 + 1], '{{id}}',
+    CAST(doc_id AS VARCHAR)) AS path, text AS content FROM documents)"""
+
+
+def _on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files with hidden names and others: doc_id, repo_id, path, content."""
+    path = F.expr("element_at(array" + _ON_DISK.replace("[", "(").replace("]", ")") + ", cast(doc_id % 5 + 1 as int))")
+    return Corpus(spark, sf_dir).table("documents").select(
+        "doc_id", F.col("source").alias("repo_id"), F.col("text").alias("content"),
+        F.replace(path, F.lit("{id}"), F.col("doc_id").cast("string")).alias("path"))
+
+
+@query("read_files", rf"""WITH {_DISK_SQL}
+SELECT repo_id, path, regexp_extract(path, '[^/]*$') AS base, length(content) AS n_chars, md5(content) AS content_md5
+FROM placed WHERE regexp_matches(content, '\S')""")
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of all documents, written and read with its hidden names."""
+    root = work_dir(spark, "tree")
+    write_tree(_on_disk(spark, sf_dir), root)
+    return S.read_repositories(spark, root).select(
+        "repo_id", "path", "base", F.length("content").cast("bigint").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive: a tar, a zip, a zip with protected members, or a zip that breaks off."""
+    repo, kind, out = rows.repo_id.iloc[0], int(rows.kind.iloc[0]), io.BytesIO()
+    rows = rows.sort_values("path")
+    if kind == 0:
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for r in rows.itertuples():
+                info, data = tarfile.TarInfo("./" + r.path), r.content.encode()
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    else:
+        with zipfile.ZipFile(out, "w") as z:
+            for r in rows.itertuples():
+                z.writestr(r.path, r.content)
+    data = bytearray(out.getvalue())
+    if kind == 2:  # the flag of protected members, in the directory behind the data
+        at = data.rfind(b"PK\5\6")
+        start = int.from_bytes(data[at + 16:at + 20], "little")
+        for r in zipfile.ZipFile(io.BytesIO(bytes(data))).infolist():
+            data[start + 8] |= 1
+            data[r.header_offset + 6] |= 1
+            start += 46 + sum(int.from_bytes(data[start + i:start + i + 2], "little") for i in (28, 30, 32))
+    elif kind == 3:
+        data = data[:-22]
+    return pd.DataFrame({"repo_id": ["packed"], "path": [f"{repo}.{'zip' if kind else 'tar'}"], "content": [bytes(data)]})
+
+
+@query("read_packed", f"""WITH {_DISK_SQL},
+parts AS (SELECT repo_id || '-' || CAST(doc_id // 200 AS VARCHAR) AS repo_id, CAST(doc_id // 200 AS BIGINT) % 4 AS kind, path,
+  coalesce(content, '') AS content FROM placed)
+SELECT repo_id, path, kind < 2 AS readable, CASE WHEN kind < 2 THEN md5(content) END AS content_md5 FROM parts WHERE kind < 3
+UNION ALL SELECT DISTINCT repo_id, repo_id || '.zip', FALSE, CAST(NULL AS VARCHAR) FROM parts WHERE kind = 3""")
+def read_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents packed into archives of some ten files each, among them protected and broken ones."""
+    bucket = F.expr("doc_id div 200")
+    parts = _on_disk(spark, sf_dir).select(
+        F.concat("repo_id", F.lit("-"), bucket).alias("repo_id"), (bucket % 4).alias("kind"), "path",
+        F.coalesce("content", F.lit("")).alias("content"))
+    root = work_dir(spark, "archives")
+    write_tree(parts.groupBy("repo_id", "kind").applyInPandas(_packed, "repo_id string, path string, content binary"), root)
+    return read_tree(spark, root, archives=True).select(
+        "repo_id", "path", F.col("error").isNull().alias("readable"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query("corpus_languages", with_ctes(FILES, TRACKED, _INVENTORY, select=f"""
 SELECT repo_id, coalesce(string_agg(DISTINCT {REPORT_LANG_SQL}, ',' ORDER BY {REPORT_LANG_SQL}), '')
   AS languages FROM inventory GROUP BY repo_id"""))

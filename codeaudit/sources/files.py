@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeaudit.functions.text import base_name, extension
 from codeaudit.model import lookup
+from codeaudit.sources.tree import read_tree
 
 # --- fixed values -----------------------------------------------------------
 REPORT_LANGUAGES = {
@@ -47,60 +43,29 @@ SKIP_HTML = ["node_modules", ".next", ".venv"]
 
 
 def read_repositories(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root/<repo_id>/...`` as rows of whole text.
+    """Files below ``root/<repo_id>/...`` as rows of whole text, with all their names, hidden ones too.
 
-    Bytes that are no UTF-8 are dropped, blank files are skipped. Listing and reading are Spark's
-    binaryFile source, one task per group of files, on any file system Spark reads. That source
-    never shows names that begin with a dot or an underscore (``.env``, ``__init__.py``,
-    ``_app.tsx``); use ``read_archives`` where those matter.
+    Bytes that are no UTF-8 are dropped, blank files are skipped. See ``sources.tree``: one listing, one
+    task per range of paths; what couldn't be read is in ``unreadable``.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .select("path", "content"))
-    inner = F.substring_index(F.col("path"), root.rstrip("/").removeprefix("file:") + "/", -1)
-    return _texts(raw.select(F.split_part(inner, F.lit("/"), F.lit(1)).alias("repo_id"),
-                             F.regexp_replace(inner, r"^[^/]*/", "").alias("path"), "content"))
+    return _texts(read_tree(spark, root))
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """Files of repositories packed as ``root/**/<repo_id>.tar``, ``.tar.gz``, ``.tgz`` or ``.zip``,
-    with all their names, hidden ones too, on any file system Spark reads.
-
-    One archive is unpacked by one task, member by member; a leading ``./`` is dropped. An archive
-    that can't be read gives no rows.
+    """Files of repositories packed as ``root/**/<repo_id>.tar`` (also ``.gz``, ``.bz2``, ``.xz``, ``.tgz``)
+    or ``.zip``, with all their names. One archive is streamed by one task, member by member; a leading
+    ``./`` is dropped. What couldn't be read is in ``unreadable``.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .select("path", "content").filter(F.col("path").rlike(ARCHIVE)))
-    repo = F.regexp_replace(F.element_at(F.split("path", "/"), -1), ARCHIVE, "")
-    return _texts(raw.select(repo.alias("repo_id"), "path", "content").mapInPandas(
-        _unpacked, "repo_id string, path string, content binary"))
+    return _texts(read_tree(spark, root, archives=True))
 
 
-ARCHIVE = r"(?i)\.(tar|tar\.gz|tgz|zip)$"
+def unreadable(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:
+    """(repo_id, path, error) of files, archives and members that the two readers leave out."""
+    return read_tree(spark, root, archives).filter("error is not null").drop("content")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    return with_names(rows.withColumn("content", text).filter(F.col("content").rlike(r"\S")))
-
-
-def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    if name.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            yield from ((m.filename, z.read(m)) for m in z.infolist() if not m.is_dir())
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
-
-
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for archives in batches:
-        for a in archives.itertuples():
-            try:
-                for name, data in _members(a.path, a.content):
-                    yield pd.DataFrame({"repo_id": [a.repo_id], "path": [name.removeprefix("./")],
-                                        "content": [data]}, dtype=object)
-            except (tarfile.TarError, zipfile.BadZipFile, EOFError, zlib.error):
-                continue
+    return with_names(rows.filter(F.col("content").rlike(r"\S")).drop("error"))
 
 
 def with_names(files: DataFrame) -> DataFrame:

@@ -194,7 +194,8 @@ def test_read_repositories(spark, tmp_path):
     (tmp_path / "two" / "b.txt").write_text("b")
     got = {(r.repo_id, r.path, r.ext, r.base, r.content)
            for r in S.read_repositories(spark, str(tmp_path)).collect()}
-    assert got == {("one", "src/a.py", ".py", "a.py", "x = 1\n"), ("two", "b.txt", ".txt", "b.txt", "b")}
+    assert got == {("one", "src/a.py", ".py", "a.py", "x = 1\n"), ("two", "b.txt", ".txt", "b.txt", "b"),
+                   ("two", ".env", "", ".env", "A=1")}
 
 
 def test_read_archives_with_hidden_names(spark, tmp_path):
@@ -215,6 +216,53 @@ def test_read_archives_with_hidden_names(spark, tmp_path):
     assert got == {(r, n, n) for r in ("one", "two") for n in names}
 
 
+def test_damaged_archives_give_error_rows(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+    tar, packed = io.BytesIO(), io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        for n in "abc":
+            info = tarfile.TarInfo(n)
+            info.size = 1000
+            t.addfile(info, io.BytesIO(n.encode() * 1000))
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("open.py", "x")
+        z.writestr("locked.py", "y")
+    locked = bytearray(packed.getvalue())
+    for mark, at in ((b"PK\3\4", 6), (b"PK\1\2", 8)):  # the second member's flags, in both places
+        locked[locked.index(mark, locked.index(mark) + 1) + at] |= 1
+    broken = bytearray(packed.getvalue())
+    broken[broken.index(b"x", 30 + len("open.py"))] ^= 1  # its checksum no longer fits
+    whole = tar.getvalue()
+    for name, data in {"whole.tar": whole, "header.tar": whole[:1600], "member.tar": whole[:2048], "between.tar": whole[:1536],
+                       "none.tar": b"", "locked.zip": locked, "broken.zip": broken, "cut.zip": packed.getvalue()[:-30],
+                       "cut.tar.gz": __import__("gzip").compress(whole)[:60]}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = S.read_tree(spark, str(tmp_path), archives=True).collect()
+    got = {(r.repo_id, r.path, r.error is None) for r in rows}
+    assert {("whole", n, True) for n in "abc"} <= got and ("whole", "whole.tar", False) not in got
+    assert {("locked", "open.py", True), ("locked", "locked.py", False), ("broken", "open.py", False),
+            ("broken", "locked.py", True)} <= got
+    for name in ("header.tar", "member.tar", "between.tar", "none.tar", "cut.zip", "cut.tar.gz"):
+        assert (name.split(".")[0], name, False) in got, name
+    assert ("between", "a", True) in got and ("member", "a", True) in got
+    assert {(r.repo_id, r.path) for r in S.unreadable(spark, str(tmp_path), True).collect()} == {g[:2] for g in got if not g[2]}
+
+
+def test_tree_is_dealt_into_ranges(spark, tmp_path):
+    from codeaudit.sources.tree import read_tree, write_tree
+    rows = [(f"r{i % 7}", f".a/_b{i}/__init__.py", "ü" * i) for i in range(60)]
+    root = str(tmp_path / "tree")
+    write_tree(spark.createDataFrame(rows, "repo_id string, path string, content string").repartition(5), root)
+    back = read_tree(spark, root, partitionbytes=20_000)
+    assert back.rdd.getNumPartitions() > 5
+    assert sorted(tuple(r)[:3] for r in back.collect()) == sorted(rows)
+    assert (tmp_path / "tree" / "_SUCCESS").read_text() == "60"
+    write_tree(spark.createDataFrame([], "repo_id string, path string, content string"), str(tmp_path / "none"))
+    assert read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_every_text_is_in_the_files(spark):
     from codeaudit.plans.corpus import Corpus
     corpus = Corpus(spark, "/root/testdata/sf0.001")
