@@ -214,14 +214,19 @@ def line_rule_hits(family: str) -> Column:
 CALL_RULES = [r for r in ALL_RULES if r.names]
 
 
-def with_calls(files: DataFrame) -> DataFrame:
+def with_calls(files: DataFrame, *families: str) -> DataFrame:
     """Files with ``calls``, what the call rules are about, and ``heads``, the text with plain argument
-    lists; only texts that hold a rule's words are read for them. One pass, stages of their own."""
+    lists; only texts that hold a word of a rule (of ``families``, if given) are read for them. One pass."""
     content, possible = F.col("content"), F.lit(False)
-    for r in CALL_RULES:
+    asked = [r for r in CALL_RULES if not families or r.family in families]
+    for r in asked:
         possible = possible | (_gate(r) & mentions(content, r.anchors))
+    names = "|".join(r.names for r in asked) or r"(?!)"
+    marks = {r.id: MARKS[r.id] for r in asked if r.id in MARKS}
+    if families and OPEN_ROUTE.family not in families:
+        return computed(files.select("*", calls_named(F.when(possible, content), F.col("lang"), names, marks).alias("calls")))
     return computed(files.select("*", calls_named(
-        F.when(possible, content), F.col("lang"), "|".join(r.names for r in CALL_RULES), MARKS).alias("calls"),
+        F.when(possible, content), F.col("lang"), names, marks).alias("calls"),
         with_plain_heads(F.when(_gate(OPEN_ROUTE) & mentions(content, OPEN_ROUTE.anchors), content)).alias("heads")))
 
 
@@ -333,7 +338,7 @@ def rule_check(family: str) -> Column:
 
 def rule_findings(files: DataFrame, *families: str) -> DataFrame:
     """Findings of rule families in one pass over the files."""
-    return emit(with_calls(with_language(files, keep_others=True)), [rule_check(f) for f in families])
+    return emit(with_calls(with_language(files, keep_others=True), *families), [rule_check(f) for f in families])
 
 
 def injection_segments(files: DataFrame) -> DataFrame:
@@ -345,7 +350,7 @@ def injection_segments(files: DataFrame) -> DataFrame:
         h["line_no"].alias("line_no"), h["rule_id"].alias("rule_id"),
         lookup(messages, h["rule_id"]).alias("message"),
         segment(F.col("content"), h["line_no"]).alias("around")))
-    return (with_calls(with_language(files)).select("repo_id", "path", F.inline(cut))
+    return (with_calls(with_language(files), "injection").select("repo_id", "path", F.inline(cut))
             .select("repo_id", "path", "line_no", "rule_id", "message", "around.*"))
 
 
