@@ -13,6 +13,10 @@ from codeaudit.model import (
 )
 
 SALTS = 64
+ORDER_NAMES = [f"o{i}" for i in range(6)]
+PART_ORDER = ["neg_penalty", *ORDER_NAMES, "cost"]
+PART_STATE = ("cost long, n_findings long, first array<struct<neg_penalty: long, o0: long, o1: long, "
+              "o2: string, o3: long, o4: string, o5: double, cost: long>>")
 
 
 def with_group(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
@@ -33,15 +37,8 @@ def group_state(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
     (repo_id, grp, salt); each salt yields its sum and its own first five, and the second
     aggregation sees at most five rows per salt, however large a group is.
     """
-    penalty = lookup(PENALTIES, F.col("severity"), 0).cast("int")
-    order = emission_order()
-    names = [f"o{i}" for i in range(len(order))]
-    rows = with_group(findings, strict_groups).select(
-        "repo_id", "grp", (-penalty).alias("neg_penalty"),
-        *[c.alias(n) for c, n in zip(order, names)],
-        (penalty * F.col("confidence").cast("decimal(9,6)")).alias("cost"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    keys = ["neg_penalty", *names]
+    rows = _priced(findings, strict_groups)
+    keys = ["neg_penalty", *ORDER_NAMES]
     ranked = rows.withColumn("pos", F.row_number().over(
         Window.partitionBy("repo_id", "grp", "salt").orderBy(*keys)))
     first = F.collect_list(F.when(F.col("pos") <= 5, F.struct(*keys, "cost")))
@@ -51,6 +48,39 @@ def group_state(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
     return merge_states(salted.drop("salt"))
 
 
+def _priced(findings: DataFrame, strict_groups: bool) -> DataFrame:
+    """(repo_id, grp, neg_penalty, order of emission, cost, salt) per finding."""
+    penalty = lookup(PENALTIES, F.col("severity"), 0).cast("int")
+    return with_group(findings, strict_groups).select(
+        "repo_id", "grp", (-penalty).alias("neg_penalty"),
+        *[c.alias(n) for c, n in zip(emission_order(), ORDER_NAMES)],
+        (penalty * F.col("confidence").cast("decimal(9,6)")).alias("cost"),
+        F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+
+
+def part_rows(findings: DataFrame, strict_groups: bool = False) -> DataFrame:
+    """Findings as the rows whose sums and first five make ``PART_STATE``: costs in millionths, the
+    place of each within the order of its equals, no nulls."""
+    rank, ord_, file, line, id_, confidence = (F.col(n) for n in ORDER_NAMES)
+    number = lambda c, kind: F.coalesce(c.cast(kind), F.lit(-1).cast(kind))
+    return _priced(findings, strict_groups).select(
+        "repo_id", "grp", F.col("salt").cast("long").alias("salt"),
+        F.col("neg_penalty").cast("long").alias("neg_penalty"), number(rank, "long").alias("o0"),
+        number(ord_, "long").alias("o1"), file.alias("o2"), line.cast("long").alias("o3"),
+        F.coalesce(id_, F.lit("")).alias("o4"), number(confidence, "double").alias("o5"),
+        F.coalesce((F.col("cost") * 1000000).cast("long"), F.lit(0)).alias("cost"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Group states, as ``group_state`` gives them, of (repo_id, grp, PART_STATE) rows."""
+    money = lambda c: (c.cast("decimal(22,0)") / F.lit(1000000).cast("decimal(7,0)")).cast(
+        "decimal(28,6)")
+    first = F.transform("first", lambda f: F.struct(
+        *[f[n].alias(n) for n in PART_ORDER[:-1]], money(f["cost"]).alias("cost")))
+    return merge_states(parts.select("repo_id", "grp", money(F.col("cost")).alias("cost"),
+                                     "n_findings", first.alias("first")))
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """States of parts of a repository's findings as one state per group."""
     return states.groupBy("repo_id", "grp").agg(

@@ -95,6 +95,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, analyzer="sast", category="sast", severity=F.col("severity"), tool="stream",
         title=F.concat(F.lit("event "), F.col("event_id")), ord=F.col("event_id"), description="",
         remediation="", confidence=(F.col("event_id") % 4 + 1) / 2000)
-    states = work_dir(spark, "states")
-    jobs.refresh_scores(found, states, work_dir(spark, "checkpoint")).awaitTermination()
-    return jobs.latest_scores(spark, states)
+    jobs.use_rocksdb(spark)
+    checkpoint = work_dir(spark, "checkpoint")
+    jobs.refresh_scores(found, checkpoint).awaitTermination()
+    return jobs.latest_scores(spark, checkpoint)
