@@ -58,9 +58,10 @@ def matches(content: Column, pattern: str, groups: int = 0, before: bool = False
     """Array of (line, match, before, groups) of a text; null where nothing matches.
 
     One replacement, the only search for the pattern, puts a mark and the groups in front of every
-    match and an end behind it; all else is cutting at those signs, so the cost is linear.
+    match and an end behind it; all else is cutting at those signs, so the cost is linear. A text
+    that holds one of the signs itself is searched as it is, see ``_matches_by_gaps``.
     ``line`` counts the newlines before the match. ``before`` (if asked for, else empty) is the
-    text in front of the match, at least 20 characters of it where there are as many.
+    text in front of the match from the last match but one on, of very long stretches the end.
     """
     heads = SEPARATOR.join(f"${g}" for g in range(1, groups + 1))
     signs = MARK + heads + BODY + "$0" + END
@@ -71,8 +72,6 @@ def matches(content: Column, pattern: str, groups: int = 0, before: bool = False
     def located(pieces: Column, marked: Column) -> Column:
         plain = F.regexp_replace(F.translate(marked, END, ""), MARK + "[^" + BODY + "]*" + BODY,
                                  MARK)
-        starts = F.flatten(F.transform(F.split(plain, "\n", -1), lambda s, i: F.array_repeat(
-            i + 1, (F.length(s) - F.length(F.translate(s, MARK, ""))).cast("int"))))
 
         def hit(piece: Column, i: Column) -> Column:
             ahead = F.lit("")
@@ -84,15 +83,50 @@ def matches(content: Column, pattern: str, groups: int = 0, before: bool = False
                 F.substring_index(after(piece), END, 1).alias("match"), ahead.alias("before"),
                 F.split(F.substring_index(piece, BODY, 1), SEPARATOR, -1).alias("groups"))
 
-        hits = F.transform(F.slice(pieces, 2, F.size(pieces)), hit)
-        return F.zip_with(hits, starts, lambda h, line: F.struct(
-            line.alias("line"), h["match"].alias("match"), h["before"].alias("before"),
-            h["groups"].alias("groups")))
+        return _with_lines(F.transform(F.slice(pieces, 2, F.size(pieces)), hit), plain)
 
-    marked = F.regexp_replace(F.translate(content, MARK + SEPARATOR + BODY + END, ""), pattern,
-                              signs)
-    return let(marked, lambda text: F.when(text.contains(MARK), let(
+    marked = F.regexp_replace(content, pattern, signs)
+    by_signs = let(marked, lambda text: F.when(text.contains(MARK), let(
         F.split(text, MARK, -1), lambda pieces: located(pieces, text))))
+    held = mentions(content, (MARK, SEPARATOR, BODY, END))
+    return F.when(held, _matches_by_gaps(content, pattern, groups, before)).otherwise(by_signs)
+
+
+def _with_lines(hits: Column, marked: Column) -> Column:
+    """Hits with the lines on which the marks of a text stand, one mark a hit."""
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda s, i: F.array_repeat(
+        i + 1, (F.length(s) - F.length(F.translate(s, MARK, ""))).cast("int"))))
+    return F.zip_with(hits, lines, lambda h, line: F.struct(
+        line.alias("line"), h["match"].alias("match"), h["before"].alias("before"),
+        h["groups"].alias("groups")))
+
+
+def _matches_by_gaps(content: Column, pattern: str, groups: int, before: bool) -> Column:
+    """``matches`` of a text that can't be marked: matches, their groups and the gaps between them
+    are searched for one by one, and only a copy that keeps nothing but newlines gets marks."""
+    def newlines_of(text: Column) -> Column:
+        return F.regexp_replace(text, r"[^\n]+", "")
+
+    def located(s: Column) -> Column:
+        def hit(match: Column, i: Column) -> Column:
+            ahead = F.lit("")
+            if before:
+                front = lambda k: F.right(F.concat(F.when(k > 0, F.get(s["g0"], k - 1)).otherwise(
+                    F.lit("")), F.get(s["gaps"], k)), F.lit(200))
+                ahead = F.concat(F.when(i > 0, front(i - 1)).otherwise(F.lit("")), front(i))
+            told = [F.get(s[f"g{g}"], i) for g in range(1, groups + 1)] or [F.lit("")]
+            return F.struct(match.alias("match"), ahead.alias("before"),
+                            F.array(*told).alias("groups"))
+
+        # the gap behind the last match has no match, so it is null here and left out
+        marked = F.array_join(F.zip_with(s["gaps"], s["g0"], lambda gap, match: F.concat(
+            newlines_of(gap), F.lit(MARK), newlines_of(match))), "")
+        return _with_lines(F.transform(s["g0"], hit), marked)
+
+    found = F.struct(F.split(content, pattern, -1).alias("gaps"), *[
+        F.regexp_extract_all(content, F.lit(pattern), F.lit(g)).alias(f"g{g}")
+        for g in range(groups + 1)])
+    return let(found, lambda s: F.when(F.size(s["g0"]) > 0, located(s)))
 
 
 def merged(*arrays: Column) -> Column:

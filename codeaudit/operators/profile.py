@@ -6,6 +6,8 @@ on those rows. Lists in a profile are short by definition (top of an order), cou
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeaudit.functions.text import matches, mentions, merged
@@ -31,7 +33,7 @@ LIST_FRAMEWORKS, LIST_ROUTES, LIST_PII_FILES, LIST_PII_WORDS, LIST_AUTH = 5, 8,
 
 DECORATOR = r"@([^\n]*)"
 ASSIGNMENT = r"(?m)^[ \t]*((?:[A-Za-z_][\w.]*[ \t]*=(?!=)[ \t]*)+)(?![^\n]*,[ \t]*$)"
-KEY_LENGTH = 16
+BLOCK = 50000  # routes or names of a group
 
 
 def _python_routes(content: Column, path: Column) -> Column:
@@ -144,31 +146,46 @@ def auth_functions(facts: DataFrame) -> DataFrame:
 def with_protection(route_rows: DataFrame, auth_rows: DataFrame) -> DataFrame:
     """Routes with ``protected``: some auth name of the repository occurs in the route's text.
 
-    Names are identifiers, so one that occurs lies within a run of word characters. Routes are
-    joined by the pieces of their runs, up to 16 characters, with the first 16 characters of
-    names; a longer name is then checked in full. That is exact and, unlike comparing all routes
-    of a repository with all its names, grows with the routes alone.
+    An automaton of a repository's names reads each of its routes once and stops at the first
+    name. Routes and names are dealt into blocks of about ``BLOCK`` rows by hash, so that a
+    repository of any size is many small groups; one with a single block of names, which is the
+    rule, has each route read once.
     """
-    names = (auth_rows.select("repo_id", "name").distinct()
-             .withColumn("piece", F.left("name", F.lit(KEY_LENGTH))))
     key = ["repo_id", "path", "pos"]
+    names = auth_rows.filter("name != ''").select("repo_id", "name").distinct()
 
-    def pieces_of(run: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(run))
-        return F.flatten(F.transform(starts, lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(KEY_LENGTH), F.length(run) - s + 1)),
-            lambda n: F.substring(run, s, n))))
-
-    runs = F.regexp_extract_all("route", F.lit(r"\w+"), F.lit(0))
-    pieces = F.array_distinct(F.flatten(F.transform(runs, pieces_of)))
-    hit = (route_rows.select(*key, "route", F.explode(pieces).alias("piece"))
-           .join(names, ["repo_id", "piece"])
-           .filter(F.contains(F.col("route"), F.col("name")))
-           .select(*key).distinct().withColumn("protected", F.lit(True)))
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("repo_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    sizes = blocks(route_rows, "n_routes").join(blocks(names, "n_names"), "repo_id")
+
+    def dealt(rows: DataFrame, own: str, other: str, told: list[str]) -> DataFrame:
+        block = F.pmod(F.xxhash64(*told), F.col(f"n_{own}"))
+        copies = F.sequence(F.lit(0), F.col(f"n_{other}") - 1)
+        return rows.join(sizes, "repo_id").select(
+            *[F.col(c).alias(c) for c in rows.columns],  # both sides may come from one table
+            block.cast("int").alias(own), F.explode(copies).alias(other))
+
+    by = ["repo_id", "routes", "names"]
+    hit = (dealt(route_rows.select(*key, "route"), "routes", "names", [*key, "route"]).groupBy(*by)
+           .cogroup(dealt(names, "names", "routes", ["name"]).groupBy(*by))
+           .applyInArrow(_guarded, route_rows.select(*key).schema)
+           .distinct().withColumn("protected", F.lit(True)))
     return route_rows.join(hit, key, "left").withColumn(
         "protected", F.coalesce("protected", F.lit(False)))
 
 
+def _guarded(routes: pa.Table, names: pa.Table) -> pa.Table:
+    """Keys of the routes in whose text one of the names occurs."""
+    automaton = ahocorasick.Automaton()
+    for name in names["name"].to_pylist():
+        automaton.add_word(name, True)
+    automaton.make_automaton()
+    found = [bool(len(automaton)) and next(automaton.iter(text or ""), None) is not None
+             for text in routes["route"].to_pylist()]
+    return routes.select(["repo_id", "path", "pos"]).filter(pa.array(found, pa.bool_()))
+
+
 def _top(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first n rows per key; Spark limits each task's groups before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -76,6 +76,20 @@ def test_match_lines_equal_python(spark, text):
         assert row.ls == text.split("\n")[:-1] if text.endswith("\n") else text.split("\n")
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet="ab\n \u0001\u0002\u0003\u0004", max_size=60))
+def test_texts_with_control_signs_are_searched_unchanged(spark, text):
+    pattern = r"(a+)([b\n\u0001-\u0004]?)(?= )?"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        matches(F.col("t"), pattern, 2, before=True).alias("m")).first()
+    want = list(re.finditer(pattern, text))
+    got = row.m or []
+    assert [(h.line, h.match, h.groups) for h in got] == [
+        (text[:m.start()].count("\n") + 1, m.group(0), [m.group(1), m.group(2)]) for m in want]
+    for i, h in enumerate(got):
+        assert h.before == text[want[i - 2].start() if i > 1 else 0:want[i].start()]
+
+
 def test_entropy_and_mask(spark):
     row = spark.range(1).select(shannon_entropy(F.lit("aabb")), shannon_entropy(F.lit("abcd")),
                                 mask(F.lit("secret-value"))).first()
@@ -185,6 +199,17 @@ def test_protection_by_name(spark):
                    ("r", "b.py", 0): True}
 
 
+def test_protection_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK", 3)
+    texts = [(f"r{i % 2}", f"f{i % 5}.py", i, f"GET /n{i}é (f.py)") for i in range(40)]
+    names = [(f"r{i % 2}", f"n{i}é") for i in range(0, 40, 7)] + [("r0", ""), ("r0", None)]
+    routes = spark.createDataFrame(texts, "repo_id string, path string, pos int, route string")
+    got = {r.pos: r.protected for r in profile.with_protection(
+        routes, spark.createDataFrame(names * 2, "repo_id string, name string")).collect()}
+    assert got == {i: any(n and r == repo and n in text for r, n in names)
+                   for repo, _, i, text in texts}
+
+
 def test_read_repositories(spark, tmp_path):
     (tmp_path / "one" / "src").mkdir(parents=True)
     (tmp_path / "one" / "src" / "a.py").write_bytes(b"x = 1\xff\n")
