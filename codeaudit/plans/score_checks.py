@@ -15,11 +15,11 @@ from codeaudit.plans.code_checks import exports_table
 from codeaudit.plans.common import (
     FILES, ORACLE, REGISTRY, TRACKED, findings_sql, lines_cte, query, with_ctes,
 )
-from codeaudit.plans.corpus import Corpus
+from codeaudit.plans.corpus import Corpus, sql_text
 from codeaudit.plans.dependency_checks import (
     CHECKED_SQL, PARSED_SQL, _POPULAR, _URL, _VULN, as_of,
 )
-from codeaudit.plans.rule_checks import _INVENTORY, REPORT_LANG_SQL
+from codeaudit.plans.rule_checks import _INVENTORY, _INVENTORY_DIRS, REPORT_LANG_SQL
 from codeaudit.sources import files as S, sinks
 from codeaudit.sources.registry import registry
 from codeaudit.sources.work import stored
@@ -272,13 +272,88 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sinks.findings_from_json(sinks.findings_json(found)))
 
 
-@query("export_json")
+_PLACE = f"""CAST({_RANK} AS DOUBLE) AS k0, CAST(ord AS DOUBLE) AS k1, coalesce(file, '') AS k2,
+  CAST(coalesce(line, 0) AS DOUBLE) AS k3, id AS k4, confidence AS k5"""
+_NOWHERE = "0.0::DOUBLE AS k0, 0.0::DOUBLE AS k1, '' AS k2, 0.0::DOUBLE AS k3, '' AS k4, 0.0::DOUBLE AS k5"
+_TOLD = f"""told AS (SELECT *, CASE analyzer WHEN 'secrets' THEN 'secret-scanner' ELSE 'semgrep' END AS tool,
+  CASE analyzer WHEN 'secrets' THEN ['Revoke the credential and read it from an environment variable.',
+      'Move the value to an environment variable or a secrets manager.',
+      'Verify the value; move it out of the source if it is a secret.'][ord]
+    WHEN 'sast' THEN 'Review the matched pattern and refactor according to secure coding guidelines. Rule: '
+      || title || '.'
+    WHEN 'prompt_injection' THEN {sql_text(rules.REMEDIATION['injection'])}
+    ELSE {sql_text(rules.REMEDIATION['gdpr'])} END AS remediation,
+  CASE analyzer WHEN 'secrets' THEN 'Take the secret on line ' || line || ' of ' || file || ' out of the source.'
+    WHEN 'sast' THEN 'Review ' || file || ':' || line || ' — Semgrep rule ''' || title || ''' matched. Suggest a fix.'
+    WHEN 'prompt_injection' THEN 'In ' || file || ' at line ' || line || ', user input flows into an LLM API '
+      || 'call without sanitization. Refactor to use a template-based prompt with input validation.'
+    ELSE 'Fix the compliance issue in ' || file || ' at line ' || line || ': ' || description END AS ai_prompt,
+  CAST(NULL AS VARCHAR) AS compliance_ref FROM findings)"""
+_CARDS = [*_SCORED[:2], _TOLD, SCORES_SQL, RUNS_SQL, COMPOSITE_SQL, f"""langs AS (SELECT repo_id,
+    coalesce(list(DISTINCT {REPORT_LANG_SQL} ORDER BY {REPORT_LANG_SQL}) FILTER ({REPORT_LANG_SQL} IS NOT NULL), [])
+      AS languages, count(*) FILTER (ext IN ({', '.join(f"'{e}'" for e in S.SCANNABLE)})) AS n_files
+  FROM files WHERE {_INVENTORY_DIRS} GROUP BY repo_id)""", f"""
+cats AS (SELECT repo_id, grp, n_findings,
+  CAST(CAST(floor(score * 10 + 0.5) AS DECIMAL(10, 0)) / 10 AS DECIMAL(10, 1)) AS score FROM all_scores),
+cards AS (SELECT repo_id, score, {_GRADE} AS grade, {_VERDICT} AS verdict,
+    coalesce(languages, []) AS languages, coalesce(n_files, 0) AS files_scanned, n
+  FROM composite LEFT JOIN langs USING (repo_id)
+  JOIN (SELECT repo_id, CAST(sum(n_findings) AS BIGINT) AS n FROM all_scores GROUP BY repo_id) USING (repo_id))"""]
+
+
+def _fragments(documents: DataFrame) -> DataFrame:
+    return documents.select("repo_id", F.col("section").cast("bigint").alias("section"), "place.*", "text")
+
+
+@query("export_json", with_ctes(*_CARDS, f"""
+rows AS (SELECT repo_id, {_PLACE}, to_json({{{', '.join(f"'{f}': {f}" for f in sinks.FINDING_FIELDS)}}})::VARCHAR
+  AS json FROM told),
+least AS (SELECT repo_id, min(row(k0, k1, k2, k3, k4, k5)) AS p FROM rows GROUP BY repo_id),
+led AS (SELECT r.*, row(k0, k1, k2, k3, k4, k5) = p AS leads FROM rows r JOIN least USING (repo_id)),
+groups AS (SELECT repo_id, string_agg(to_json(grp)::VARCHAR || ':' || score, ',' ORDER BY grp) AS listed
+  FROM cats GROUP BY repo_id)""", select=f"""
+SELECT repo_id, 0::BIGINT AS section, {_NOWHERE}, '{{"score":' || score || ',"grade":"' || grade || '","verdict":"'
+  || verdict || '","scan_time":0.0,"repo_path":' || to_json(repo_id)::VARCHAR || ',"languages_detected":'
+  || to_json(languages)::VARCHAR || ',"files_scanned":' || files_scanned || ',"tokens_used":0,"category_scores":{{'
+  || listed || '}},"findings_count":' || n || ',"findings":[' AS text FROM cards JOIN groups USING (repo_id)
+UNION ALL SELECT repo_id, 1, k0, k1, k2, k3, k4, k5, string_agg(json, ',' ORDER BY json) FROM led WHERE leads
+  GROUP BY repo_id, k0, k1, k2, k3, k4, k5
+UNION ALL SELECT repo_id, 1, k0, k1, k2, k3, k4, k5, ',' || json FROM led WHERE NOT leads
+UNION ALL SELECT repo_id, 2, {_NOWHERE}, ']}}' FROM cards"""))
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of one JSON document per repository, with their places."""
     found = stored(scored_findings(spark, sf_dir), "findings")
-    return sinks.json_documents(_cards(spark, sf_dir, found), found)
-
-
-@query("export_markdown")
+    return _fragments(sinks.json_documents(_cards(spark, sf_dir, found), found))
+
+
+_SIGN = _case("severity", sinks.SEVERITY_SIGN, "''")
+_LOCATION = """CASE WHEN coalesce(file, '') <> '' AND coalesce(line, 0) <> 0 THEN file || ':' || line
+  WHEN coalesce(file, '') <> '' THEN file ELSE '—' END"""
+
+
+@query("export_markdown", with_ctes(*_CARDS, """
+cells AS (SELECT repo_id, string_agg('| ' || array_to_string(list_transform(string_split(grp, '_'),
+      lambda w: upper(w[1]) || w[2:]), ' ') || ' | ' || CAST(round_even(score, 0) AS BIGINT) || ' '
+    || repeat('🟩', CAST(floor(score / 10) AS BIGINT)) || repeat('⬜', 10 - CAST(floor(score / 10) AS BIGINT))
+    || ' |', chr(10) ORDER BY score, grp) AS listed FROM cats GROUP BY repo_id),
+counts AS (SELECT repo_id, severity, count(*) AS n FROM told GROUP BY ALL)""", select=f"""
+SELECT repo_id, 0::BIGINT AS section, {_NOWHERE}, concat_ws(chr(10), '## 🔍 Audit Report', '',
+  '**Score:** ' || CAST(round_even(score, 0) AS BIGINT) || '/100 (' || grade || ') — ' || verdict, '',
+  '| Metric | Value |', '|--------|-------|', '| Files Scanned | ' || files_scanned || ' |',
+  '| Languages | ' || CASE WHEN len(languages) > 0 THEN array_to_string(languages, ', ') ELSE 'N/A' END || ' |',
+  '| Scan Time | 0.0s |', '| Findings | ' || n || ' |', '| LLM Tokens | 0 |', '',
+  '### Category Scores', '', '| Category | Score |', '|----------|-------|', listed, '') AS text
+FROM cards JOIN cells USING (repo_id)
+UNION ALL SELECT DISTINCT repo_id, 1, {_NOWHERE}, '### 🚨 Critical & High Findings' || chr(10) FROM told
+  WHERE {_SEV} >= 4
+UNION ALL SELECT repo_id, 2, {_PLACE}, concat_ws(chr(10), '<details>', '<summary>' || {_SIGN} || ' <b>' || title
+    || '</b> — <code>' || {_LOCATION} || '</code></summary>', '', '**Severity:** ' || upper(severity) || '  ',
+    '**Description:** ' || description || '  ', '**Remediation:** ' || remediation || '  ', '',
+    '**Cursor/Copilot Prompt:**', '```', ai_prompt, '```', '</details>', '') FROM told WHERE {_SEV} >= 4
+UNION ALL SELECT repo_id, 3, {_NOWHERE}, '### Summary' || chr(10) || chr(10) || string_agg('- ' || {_SIGN} || ' **'
+    || upper(severity) || '**: ' || n, chr(10) ORDER BY {_SEV} DESC) || chr(10) FROM counts GROUP BY repo_id
+UNION ALL SELECT repo_id, 4, {_NOWHERE}, '---' || chr(10) || '*Generated by codeaudit*' FROM cards"""))
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of one Markdown report per repository, with their places."""
     found = stored(scored_findings(spark, sf_dir), "findings")
-    return sinks.markdown_documents(_cards(spark, sf_dir, found), found)
+    return _fragments(sinks.markdown_documents(_cards(spark, sf_dir, found), found))

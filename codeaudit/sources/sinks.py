@@ -56,12 +56,18 @@ def json_documents(scorecards: DataFrame, findings: DataFrame) -> DataFrame:
     top = scorecards.select("repo_id", F.lit(0).alias("section"), _nowhere().alias("place"),
                             head.alias("text"))
     rows = findings.withColumn("place", _place())
-    # the first finding of a repository has no comma in front of it; a minimum per repository
-    first = rows.groupBy("repo_id").agg(F.min("place").alias("first"))
-    body = (findings_json(rows.withColumn("ord", F.col("place"))).withColumnRenamed("ord", "place")
-            .join(first, "repo_id")
-            .select("repo_id", F.lit(1).alias("section"), "place", F.concat(
-                F.when(F.col("place") == F.col("first"), "").otherwise(","), "json").alias("text")))
+    # what stands first has no comma in front of it: the few findings at a repository's least place
+    # (as a rule one) are one fragment, all others follow with a comma each
+    least = rows.groupBy("repo_id").agg(F.min("place").alias("least"))
+    told = (findings_json(rows.withColumn("ord", F.col("place"))).withColumnRenamed("ord", "place")
+            .join(least, "repo_id"))
+    first = (told.filter(F.col("place") == F.col("least")).groupBy("repo_id", "place")
+             .agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("text"))
+             .select("repo_id", F.lit(1).alias("section"), "place", "text"))
+    others = told.filter(F.col("place") != F.col("least")).select(
+        "repo_id", F.lit(1).alias("section"), "place",
+        F.concat(F.lit(","), "json").alias("text"))
+    body = first.unionByName(others)
     end = scorecards.select("repo_id", F.lit(2).alias("section"), _nowhere().alias("place"),
                             F.lit("]}").alias("text"))
     return top.unionByName(body).unionByName(end)
