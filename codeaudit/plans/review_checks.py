@@ -83,7 +83,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("profile_routes", with_ctes(FILES, lines_cte(), FACTS_SQL, select="""
 SELECT repo_id, path, method, route_path, route, protected FROM guarded"""))
 def profile_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
+    facts = stored(_facts(spark, sf_dir).select("repo_id", "path", "routes", "auth"), "facts")
     return profile.with_protection(profile.routes(facts), profile.auth_functions(facts)).drop("pos")
 
 
