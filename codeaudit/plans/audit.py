@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeaudit.model import emit, union_findings
-from codeaudit.operators import cost, frontend, known_exports, manifests, rules, secrets
+from codeaudit.operators import cost, frontend, known_exports, manifests, review, rules, secrets
 from codeaudit.operators.dependencies import dependency_findings
-from codeaudit.sources.files import SKIP_COST, SKIP_HTML, outside, with_language
+from codeaudit.sources.files import SKIP_COST, SKIP_HTML, exclude_paths, outside, with_language
 
 FAMILIES = ("sast", "gdpr", "soc2", "injection")
 
@@ -45,15 +47,34 @@ def in_scope(findings: DataFrame, files: DataFrame, tracked: DataFrame | None =
 def audit_findings(files: DataFrame, exports: DataFrame, registry: DataFrame, as_of: Column,
                    advisories: DataFrame | None = None, tracked: DataFrame | None = None,
                    git_repos: DataFrame | None = None,
-                   reported: DataFrame | None = None) -> DataFrame:
+                   reported: DataFrame | None = None, excludes: Sequence[str] = (),
+                   scanners: tuple[DataFrame, DataFrame] | None = None,
+                   verdicts: DataFrame | None = None, compliance_reviews: DataFrame | None = None,
+                   summaries: DataFrame | None = None) -> DataFrame:
     """All analyzers' findings. Three passes over file contents: the checks of single files,
-    imports, and manifests, of which a scan prunes all other files. ``reported`` adds findings
-    ingested from outside scanners. Store the result before several steps read it."""
+    imports, and manifests, of which a scan prunes all other files. Store the result before
+    several steps read it.
+
+    ``excludes`` are configured directories and files that no analyzer sees. ``scanners`` are the
+    ingested findings of two code scanners, the preferred one first, of which one stays per place;
+    ``reported`` adds any others as they are. ``verdicts`` are replies to single findings,
+    ``compliance_reviews`` and ``summaries`` replies about repositories, see ``review``.
+    """
+    files = exclude_paths(files, excludes)
     deps = manifests.unique_dependencies(
         manifests.declared_dependencies(files, tracked, git_repos))
+    own = in_scope(file_findings(files), files, tracked, git_repos)
     parts = [
-        in_scope(file_findings(files), files, tracked, git_repos),
+        own if verdicts is None else review.apply_verdicts(own, verdicts),
         known_exports.hallucinated_imports(files, exports, tracked, git_repos),
         dependency_findings(deps, registry, as_of, advisories),
     ]
-    return union_findings(*parts, *([reported] if reported is not None else []))
+    if scanners is not None:
+        parts.append(rules.merge_scanners(*scanners))
+    if compliance_reviews is not None:
+        parts.append(review.compliance_replies(compliance_reviews))
+    if summaries is not None:
+        parts.append(review.summary_replies(summaries))
+    if reported is not None:
+        parts.append(reported)
+    return union_findings(*parts)

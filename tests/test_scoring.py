@@ -153,6 +153,54 @@ def test_documents(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, found.collect()))
 
 
+def test_findings_at_one_place_make_a_valid_document(spark):
+    import json
+    found = make(spark, SAMPLE)
+    found = found.unionByName(found).unionByName(found)
+    runs = spark.createDataFrame([("r", "secrets", "ok"), ("empty", "secrets", "ok")],
+                                 "repo_id string, analyzer string, status string")
+    inventory = spark.createDataFrame([("r", ["Go"], 3)],
+                                      "repo_id string, languages array<string>, files_scanned long")
+    rows = sinks.json_documents(scoring.scorecard(found, runs, inventory), found).collect()
+    for repo, n in (("r", 45), ("empty", 0)):
+        doc = json.loads("".join(r.text for r in sorted(
+            (r for r in rows if r.repo_id == repo), key=lambda r: (r.section, r.place))))
+        assert len(doc["findings"]) == n == doc["findings_count"]
+
+
+def test_audit_takes_excludes_scanners_and_replies(spark, files_table):
+    import json
+    from codeaudit.model import as_findings, finding_key
+    from codeaudit.operators import known_exports
+    from codeaudit.plans import audit
+    from codeaudit.sources.registry import registry
+    files = files_table({"src/a.py": "x = eval(y)\n", "old/b.py": "x = eval(y)\n",
+                         "src/c.py": "eval(z)\n"})
+    answers = registry(spark.createDataFrame(
+        [], "ecosystem string, package string, http_status int, body string"))
+    seen = spark.createDataFrame([("r", 3), ("r", 4)], "repo_id string, line int")
+
+    def report(tool, rows):
+        return as_findings(rows, analyzer="sast", category="sast", severity="low", title=tool, tool=tool,
+                           file="src/d.py", line=F.col("line"), description="", remediation="")
+
+    own = audit.in_scope(audit.file_findings(files), files)
+    judged = own.filter("file = 'src/c.py'").select(
+        finding_key().alias("key"), F.lit(json.dumps({"is_vulnerable": False})).alias("body"))
+    summary = spark.createDataFrame([("r", json.dumps({"executive_summary": "fine"}))],
+                                    "repo_id string, body string")
+    gaps = spark.createDataFrame([("r", json.dumps([{"title": "no consent", "severity": "high"}]))],
+                                 "repo_id string, body string")
+    got = audit.audit_findings(
+        files, known_exports.known_exports(spark), answers, F.current_timestamp(),
+        excludes=["old/"], scanners=(report("semgrep", seen.filter("line = 3")), report("bandit", seen)),
+        verdicts=judged, compliance_reviews=gaps, summaries=summary).collect()
+    assert sorted((f.tool, f.file, f.line) for f in got if f.analyzer == "sast") == [
+        ("bandit", "src/d.py", 4), ("semgrep", "src/a.py", 1), ("semgrep", "src/d.py", 3)]
+    assert {f.title for f in got if f.tool.startswith("llm-")} == {"no consent", "Executive Summary"}
+    assert not any(f.file == "old/b.py" for f in got)
+
+
 def test_write_documents(spark, tmp_path):
     import glob
     import json
