@@ -5,13 +5,14 @@ Every word and every pair of neighbouring words (the last word paired with the e
 documents, one of trusted documents. A document's score is the sum of log(trusted / all) over its
 n-grams, divided by their number; it is kept if the base rules pass and the score reaches the
 threshold. All of it is in-row expressions and one aggregation to ``buckets`` rows. The counts of
-all documents are complete; trusted are documents whose label says quality 1 and not toxic, at most
-``max_trusted`` of them, chosen by a hash of the id (a documented bound, so that the ids can be
-broadcast).
+all documents and of trusted ones are complete; trusted are all documents whose label says quality 1
+and not toxic. For their counts texts are dealt by id to where the trusted ids are; none is broadcast
+and no text is sorted, however many ids there are.
 
 Three quarters of the trusted documents give the counts; the rest, as far as they pass the base
 rules, give the threshold: ``SPREADS`` standard deviations below their mean score. With fewer than
-two of those it is ``THRESHOLD``.
+two of those it is ``THRESHOLD``. Scores are stored before the threshold is taken from them, so no
+text is scored twice.
 
 Defined cases. Null text has no words and fails the base rules. A null id is never trusted. Empty
 labels: no score (null), and the base rules alone decide. Repeated rows are judged one by one.
@@ -26,7 +27,8 @@ from codeaudit.llm.words import computed, let, words
 from codeaudit.sources.work import stored
 
 SYMBOLS = r"[#*$%&|<>]+"
-BUCKETS, MAX_TRUSTED, SMOOTHING, SPREADS, THRESHOLD = 10_000, 16_384, 1.0, 4.0, -0.5
+BUCKETS, SMOOTHING, SPREADS, THRESHOLD = 10_000, 1.0, 4.0, -0.5
+MAX_TRUSTED: int | None = None  # no bound
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 
@@ -80,20 +82,21 @@ def cells(hashes: Column, buckets: int) -> tuple[Column, Column]:
 FITTED = "pmod(xxhash64(_id, 'fit'), 4) > 0"
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` distinct ids of quality 1 and not toxic, by hash: fit for broadcasting."""
-    return (labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-                          & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-            .select(F.col("doc_id").alias("_id")))
+def trusted_ids(labels: DataFrame, most: int | None = MAX_TRUSTED) -> DataFrame:
+    """The distinct ids of quality 1 and not toxic: all, unless ``most`` asks for fewer."""
+    ids = (labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+                         & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    if most is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return ids.select(F.col("doc_id").alias("_id"))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame | None:
     """One row: ``_r``, the log ratio of each of the ``buckets`` cells. None without trusted
     documents."""
-    hashed = (docs.select(F.col("doc_id").alias("_id"),
-                          F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-              .join(F.broadcast(trusted.filter(FITTED).withColumn("_t", F.lit(1))), "_id", "left"))
+    hashed = (docs.select(F.col("doc_id").alias("_id"), "text")
+              .join(trusted.filter(FITTED).withColumn("_t", F.lit(1)).hint("shuffle_hash"), "_id", "left")
+              .select("_t", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_h")))
     one, two = cells(F.col("_h"), buckets)
     counts = stored(hashed.select(F.explode(F.concat(one, two)).alias("id"),
                                   F.col("_t").cast("bigint").alias("t"))
@@ -124,27 +127,28 @@ def with_ratio(rows: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> Da
             .select(*rows.columns, score.alias("score")))
 
 
-def threshold_of(docs: DataFrame, trusted: DataFrame, ratios: DataFrame) -> float:
+def threshold_of(scored: DataFrame, trusted: DataFrame) -> float:
     """``SPREADS`` standard deviations below the mean score of trusted documents that pass the base
     rules and that the ratios weren't fitted on."""
-    found = docs.join(F.broadcast(trusted.filter(f"NOT ({FITTED})")), F.col("doc_id") == F.col("_id"))
-    scored = with_ratio(with_counts(found, only=["_id"]), ratios)
+    found = scored.join(trusted.filter(f"NOT ({FITTED})"), F.col("_d.doc_id") == F.col("_id"))
     good = F.when(~F.col("base_failed"), F.col("score"))
-    r = scored.agg(F.avg(good).alias("mean"), F.stddev(good).alias("spread")).first()
+    r = found.agg(F.avg(good).alias("mean"), F.stddev(good).alias("spread")).first()
     return THRESHOLD if r.spread is None else r.mean - SPREADS * r.spread
 
 
 def judged(docs: DataFrame, labels: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """``_d`` and the base counts, base_failed, score, threshold, kept of every document."""
-    trusted = trusted_ids(labels, MAX_TRUSTED)
+    """``_d`` (columns ``only``, ``doc_id`` among them, else all) and the base counts, base_failed,
+    score, threshold, kept of every document."""
+    trusted = trusted_ids(labels)
     ratios = fit(docs, trusted)
     out = with_counts(docs, only=only)
     if ratios is None:
         return out.select("*", F.lit(None).cast("double").alias("score"),
                           F.lit(None).cast("double").alias("threshold"),
                           (~F.col("base_failed")).alias("kept")).drop("_h")
-    least = threshold_of(docs, trusted, ratios)
-    out = with_ratio(out, ratios).drop("_h").withColumn("threshold", F.lit(least))
+    out = stored(with_ratio(out, ratios).drop("_h"), "scored")
+    least = threshold_of(out, trusted)
+    out = out.withColumn("threshold", F.lit(least))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 

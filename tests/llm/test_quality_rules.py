@@ -79,3 +79,16 @@ def test_no_labels_no_documents_and_other_columns(spark, docs_of):
     one = spark.createDataFrame([(None, 1, None), (7, 1, None), (1, None, None)], labels.schema)
     assert q.keep(docs, one).count() == 1
     assert q.keep(docs.limit(0), one).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    """More of them than any bound that was ever set: ids, ratios and threshold are of all."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr(
+        "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', pmod(hash(id, i), 97 + i % 7))))").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert q.trusted_ids(labels, q.MAX_TRUSTED).count() == 20_000
+    rows = q.judged(docs, labels, only=["doc_id"]).select(
+        F.col("_d.doc_id").alias("_id"), "base_failed", "score", "threshold")
+    assert rows.filter("base_failed").count() == 0
+    r = rows.filter(f"NOT ({q.FITTED})").agg(F.avg("score"), F.stddev("score"), F.max("threshold")).first()
+    assert r[2] == pytest.approx(r[0] - q.SPREADS * r[1], rel=1e-9)
