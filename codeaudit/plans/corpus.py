@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeaudit.model import union_findings
 from codeaudit.sources.files import with_names
 
 # Their number has no common factor with that of the sources, so that every repository gets each of them.
@@ -672,7 +673,13 @@ class Corpus:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """One report per part and scanner; those of size 50 are cut off in the middle."""
+        """One report per part and scanner; those of size 50 are cut off in the middle.
+
+        A union, so that a query of one scanner builds that scanner's reports only. Parts are small and
+        their reports are not: parts are dealt out, as their few blocks would make as few tasks.
+        """
+        rows = self.table("part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand").repartition(
+            "p_partkey", "p_name")
         k, size = F.col("p_partkey"), F.col("p_size")
         pick = lambda n, *values: F.element_at(
             F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
@@ -710,19 +717,16 @@ class Corpus:
             F.lit('.0", "vulns": [{"id": "PYSEC-'), k, F.lit('", "description": "'),
             F.repeat(F.concat("p_type", F.lit(" ")), 30), F.lit('", "fix_versions": ["'), size,
             F.lit('.1", "'), size, F.lit('.2"]}, {"id": "X"}]}, {"name": "safe", "vulns": []}]}'))
-        tools = F.explode(F.array(*[
-            F.struct(F.lit(t).alias("tool"), src.alias("source"), body.alias("body"))
-            for t, src, body in (
-                ("bandit", F.lit(""), bandit), ("semgrep", F.lit(""), semgrep),
-                ("semgrep-compliance", pick(k, "gdpr.yml", "soc2.yml"), semgrep),
-                ("semgrep-injection", F.lit(""), semgrep),
-                ("npm-audit", F.concat(F.lit("svc"), size, F.lit("/package.json")), npm),
-                ("pip-audit", F.lit("requirements.txt"), pip))]))
-        rows = self.table("part").select(F.concat(F.lit("team-"), size).alias("repo_id"), "p_size",
-                                         tools.alias("t"))
-        return rows.select("repo_id", "t.tool", "t.source", F.when(
-            F.col("p_size") == 50, F.left("t.body", F.lit(25))).otherwise(F.col("t.body"))
-            .alias("body"))
+        whole = lambda body: F.when(size == 50, F.left(body, F.lit(25))).otherwise(body)
+        parts = [rows.select(F.concat(F.lit("team-"), size).alias("repo_id"), F.lit(t).alias("tool"),
+                             src.alias("source"), whole(body).alias("body"))
+                 for t, src, body in (
+                     ("bandit", F.lit(""), bandit), ("semgrep", F.lit(""), semgrep),
+                     ("semgrep-compliance", pick(k, "gdpr.yml", "soc2.yml"), semgrep),
+                     ("semgrep-injection", F.lit(""), semgrep),
+                     ("npm-audit", F.concat(F.lit("svc"), size, F.lit("/package.json")), npm),
+                     ("pip-audit", F.lit("requirements.txt"), pip))]
+        return union_findings(*parts)
 
 
 def package_name(key: Column) -> Column:

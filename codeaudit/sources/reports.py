@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeaudit.functions.calls import computed
 from codeaudit.model import as_findings, lookup
 
 # --- fixed values -----------------------------------------------------------
@@ -30,8 +31,9 @@ def _or(value: Column, default: object) -> Column:
 
 
 def parsed(reports: DataFrame, tool: str) -> DataFrame:
-    return (reports.filter(F.col("tool") == tool)
-            .withColumn("doc", F.try_parse_json("body")).drop("body")
+    """The reports of one tool with their bodies parsed once, as ``doc``; without malformed ones."""
+    return (computed(reports.filter(F.col("tool") == tool)
+                     .withColumn("doc", F.try_parse_json("body")).drop("body"))
             .filter(F.col("doc").isNotNull()))
 
 
@@ -123,21 +125,24 @@ def semgrep_injection_hits(reports: DataFrame) -> DataFrame:
 def npm_audit(reports: DataFrame) -> DataFrame:
     """One finding per vulnerable package of ``vulnerabilities``; ``source`` is the manifest."""
     vulns = _get(F.col("doc"), "$.vulnerabilities", "map<string,variant>")
-    rows = parsed(reports, "npm-audit").select(
-        "repo_id", "source", F.posexplode(F.map_entries(vulns)).alias("pos", "e"))
+    rows = computed(parsed(reports, "npm-audit").select("repo_id", "source", F.map_entries(vulns).alias("vulns")))
+    rows = rows.select("repo_id", "source", F.posexplode("vulns").alias("pos", "e"))
     rows = rows.select("repo_id", "source", "pos", F.col("e.key").alias("package"),
                        F.col("e.value").alias("v"))
     v, package = F.col("v"), F.col("package")
-    via = F.filter(F.coalesce(_get(v, "$.via", "array<variant>"),
-                              F.array().cast("array<variant>")),
-                   lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    rows = computed(rows.select("*", F.filter(
+        F.coalesce(_get(v, "$.via", "array<variant>"), F.array().cast("array<variant>")),
+        lambda x: F.schema_of_variant(x).startswith("OBJECT")).alias("via")))
 
     def listed(path: str) -> Column:
-        return F.filter(F.transform(via, lambda x: _get(x, path)),
+        return F.filter(F.transform("via", lambda x: _get(x, path)),
                         lambda s: s.isNotNull() & (s != ""))
 
-    titles, urls, cves = listed("$.title"), listed("$.url"), listed("$.cve")
-    severity = F.lower(_or(F.nullif(_get(v, "$.severity"), F.lit("")), "moderate"))
+    rows = computed(rows.select(
+        "repo_id", "source", "pos", "package", "v", listed("$.title").alias("titles"),
+        listed("$.url").alias("urls"), listed("$.cve").alias("cves"),
+        F.lower(_or(F.nullif(_get(v, "$.severity"), F.lit("")), "moderate")).alias("severity")))
+    titles, urls, cves, severity = (F.col(c) for c in ("titles", "urls", "cves", "severity"))
     name = _or(_get(v, "$.fixAvailable.name"), None)
     fix_kind = F.schema_of_variant(F.coalesce(_get(v, "$.fixAvailable", "variant"),
                                               F.try_parse_json(F.lit("false"))))

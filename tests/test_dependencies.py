@@ -266,3 +266,17 @@ def test_declarations_meet_advisories_in_one_join(spark):
     assert got == [("A", "CVE: flask==1.0rc1 — A")] + [("B", "CVE: flask==1.0 — B")] * 2 + [("B", "CVE: flask==2.0 — B")] * 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
+def test_reports_of_one_scanner_are_built_and_parsed_once(spark, tmp_path):
+    from codeaudit.plans.corpus import Corpus
+    from codeaudit.sources import reports
+    spark.createDataFrame([(k, 49 + k, f"n{k}", "t", "b") for k in range(3)],
+                          "p_partkey bigint, p_size int, p_name string, p_type string, p_brand string").write.parquet(
+        str(tmp_path / "part.parquet"))
+    made = Corpus(spark, str(tmp_path)).reports
+    assert made.count() == 18 and made.filter("length(body) = 25").count() == 6
+    found = reports.npm_audit(made)
+    assert sorted(r.cwe or "" for r in found.collect()) == ["", "", "CVE-0", "CVE-2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "test_name" not in plan and "check_id" not in plan and plan.count("parse_json") <= 1
