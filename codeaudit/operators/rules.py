@@ -303,7 +303,7 @@ def rule_check(family: str) -> Column:
     positions = {k: i + (100 if family == "soc2" else 0) for i, k in enumerate(of, 1)}
     path = F.col("path")
 
-    def found(hit: Column) -> Column:
+    def found(hit: Column, lines: Column | None = None) -> Column:
         rule, line_no = hit["rule_id"], hit["line_no"]
         message = lookup({k: r.message for k, r in of.items()}, rule)
         if family == "sast":
@@ -324,7 +324,7 @@ def rule_check(family: str) -> Column:
                               line_no, F.lit(": "), message)
         evidence = hit["line"]
         if family == "injection":
-            evidence = F.left(segment(F.col("content"), line_no)["code_segment"], F.lit(500))
+            evidence = F.left(_around(lines, line_no)["code_segment"], F.lit(500))
         return finding(
             analyzer=ANALYZER[family], category=CATEGORY[family], tool="semgrep", title=rule,
             file=path, line=line_no, description=message, remediation=remediation,
@@ -333,7 +333,10 @@ def rule_check(family: str) -> Column:
             ord=lookup(positions, rule), ai_prompt=prompt, evidence=evidence,
             confidence=0.6 if family == "injection" else 1.0)
 
-    return F.transform(rule_hits(family), found)
+    if family == "injection":  # a text with hits is cut into lines once, for all of them
+        return let(rule_hits(family), lambda hits: F.when(F.size(hits) > 0, let(
+            line_array(F.col("content")), lambda lines: F.transform(hits, lambda h: found(h, lines)))))
+    return F.transform(rule_hits(family), lambda h: found(h))
 
 
 def rule_findings(files: DataFrame, *families: str) -> DataFrame:
@@ -376,14 +379,16 @@ def hit_segments(files: DataFrame, hits: DataFrame) -> DataFrame:
 
 def segment(content: Column, line_no: Column) -> Column:
     """(start_line, end_line, code_segment): 15 lines either way, clipped to the text."""
-    def cut(lines: Column) -> Column:
-        start = F.greatest(F.lit(1), line_no - CONTEXT_LINES)
-        end = F.least(F.size(lines), line_no + CONTEXT_LINES)
-        code = F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")
-        return F.struct(start.cast("int").alias("start_line"), end.cast("int").alias("end_line"),
-                        code.alias("code_segment"))
-
-    return let(line_array(content), cut)
+    return let(line_array(content), lambda lines: _around(lines, line_no))
+
+
+def _around(lines: Column, line_no: Column) -> Column:
+    """``segment`` of a text that is cut into lines."""
+    start = F.greatest(F.lit(1), line_no - CONTEXT_LINES)
+    end = F.least(F.size(lines), line_no + CONTEXT_LINES)
+    code = F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")
+    return F.struct(start.cast("int").alias("start_line"), end.cast("int").alias("end_line"),
+                    code.alias("code_segment"))
 
 
 def merge_scanners(preferred: DataFrame, other: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def keyword_assignments() -> Column:
     """Array of (line_no, secret): string literals assigned to a telling name."""
     return _per_line(KEYWORD, lambda n, t: F.transform(_all(t, KEYWORD), lambda s: F.struct(
         n.alias("line_no"), s.alias("secret"))),
-        mentions(F.lower("content"), KEYWORD_NAMES))
+        let(F.lower("content"), lambda text: mentions(text, KEYWORD_NAMES)))
 
 
 def random_tokens(min_hex: float = MIN_ENTROPY_HEX, min_mixed: float = MIN_ENTROPY_MIXED,
